@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import components
-from caudal.session import table
+from caudal.llm import bpe, components, mixing
+from caudal.session import Stages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +41,39 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id_nodo",
     )
     return groups.select(F.col("id").alias("id_nodo"), F.col("group").alias("id_grupo"))
+
+
+#: Vocabulary file of the public tokenizer; set CAUDAL_TOKENIZER where it lies elsewhere.
+TOKENIZER = os.environ.get("CAUDAL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id"], TOKENIZER)
+
+
+def _mixed(spark: SparkSession, sf_dir: str, whole_corpus: bool = False) -> tuple[DataFrame, DataFrame]:
+    sized = bpe.encode(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"], TOKENIZER, None, "n_tokens")
+    sized = Stages(spark, "mix").cut(sized, "sized")
+    total = sized.agg(F.sum("n_tokens")).first()[0] or 0 if whole_corpus else None
+    plan = mixing.plan(sized, table(spark, sf_dir, "mezcla_objetivo"), total)
+    return mixing.mix(sized, "doc_id", plan), plan
+
+
+@query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and repetitions of the largest mix that meets the target weights."""
+    return _mixed(spark, sf_dir)[0]
+
+
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in that mix."""
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
+@query
+def p7_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix as large as the corpus, in which small sources reach their cap and others take over."""
+    return mixing.shares(*_mixed(spark, sf_dir, True))
