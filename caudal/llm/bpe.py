@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Splits text before the merges; the pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,9 +131,9 @@ def encode(df: DataFrame, text: str, keep: list[str], path: str, ids: str | None
     model = spark.sparkContext.broadcast(load_merges(path))
     schema = df.select(*keep).schema
     if ids:
-        schema = schema.add(ids, "array<int>")
+        schema = schema.add(ids, T.ArrayType(T.IntegerType()))
     if count:
-        schema = schema.add(count, "int")
+        schema = schema.add(count, T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
