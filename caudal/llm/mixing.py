@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,31 +63,45 @@ def plan(sized: DataFrame, targets: DataFrame, total: float | None) -> DataFrame
     return spark.createDataFrame(out, T._parse_datatype_string(schema))
 
 
+def _fill(docs: pd.DataFrame) -> pd.DataFrame:
+    """Marks documents of one range, in hash order, that fit into what is left; then the best last one."""
+    docs = docs.sort_values(["__h", "n_tokens"], kind="stable")
+    left = float(docs["resto"].iloc[0] - docs["__from"].iloc[0])
+    sizes, taken = docs["n_tokens"].fillna(0).to_numpy(), np.zeros(len(docs), bool)
+    for i, n in enumerate(sizes):
+        if n <= left:
+            taken[i], left = True, left - n
+    if (~taken).any():
+        i = np.where(taken, np.inf, np.abs(left - sizes)).argmin()
+        taken[i] = abs(left - sizes[i]) < left
+    return docs.assign(repeticiones=docs["enteras"] + taken)
+
+
 def mix(sized: DataFrame, key: str, plan_rows: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix: ``key, source, n_tokens, repeticiones``.
 
     Each source comes ``enteras`` times whole; for the rest, its documents are put in the order of a seeded hash and
-    taken while the middle of the document lies within ``resto`` tokens. The order is cut into BUCKETS ranges of
-    the hash: sums by range (of fixed number) decide all ranges but the one where the rest ends, and only that
-    range, about one document in BUCKETS, is put in order. The choice depends on key and seed alone. Null keys
-    are ordered as their hash, documents of equal key stand side by side; documents without source or of a source
-    without target are left out. Documents of 0 tokens follow their range.
+    taken until ``resto`` tokens are reached. The order is cut into ranges of the hash, at most BUCKETS a source:
+    sums by range decide all ranges but the one where the rest ends, and only that range (a few hundred documents,
+    or one in BUCKETS of a very large source) is gone through one by one, skipping documents that no longer fit.
+    The choice depends on key and seed alone. Documents without source or of a source without target are left
+    out; those of 0 tokens follow their range; documents of equal or null key stand side by side.
     """
+    rows = plan_rows.select("source", "enteras", "resto", F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.expr("documentos div 256"))).alias("__n"))
     docs = sized.select(key, "source", "n_tokens", F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
-    docs = docs.withColumn("__b", F.shiftrightunsigned("__h", 52).cast("int"))
-    docs = docs.join(F.broadcast(plan_rows.select("source", "enteras", "resto")), "source")
-    ranges = docs.where("resto > 0").groupBy("source", "__b", "resto").agg(F.sum("n_tokens").alias("t"))
+    docs = docs.join(F.broadcast(rows), "source")
+    docs = docs.withColumn("__b", F.floor(F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53)) * F.col("__n")).cast("int")).drop("__n")
+    docs = docs.withColumn("__h", F.shiftrightunsigned("__h", 11))
+    ranges = docs.where("resto > 0").groupBy("source", "__b", "resto").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"))
     upto = F.sum("t").over(Window.partitionBy("source").orderBy("__b"))
     cut = ranges.withColumn("__to", upto).select("source", "__b", (F.col("__to") - F.col("t")).alias("__from"), "__to")
     placed = docs.join(F.broadcast(cut), ["source", "__b"], "left")
     inside = F.when(F.col("__to").isNull() | (F.col("__from") >= F.col("resto")), 0).when(F.col("__to") <= F.col("resto"), 1)
     placed = placed.withColumn("__extra", inside)
     done = placed.where("__extra is not null").select(key, "source", "n_tokens", (F.col("enteras") + F.col("__extra")).alias("repeticiones"))
-    order = Window.partitionBy("source").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.col("__from") + F.sum("n_tokens").over(order) - F.col("n_tokens") / 2
-    edge = placed.where("__extra is null").withColumn("__x", F.when(at <= F.col("resto"), 1).otherwise(0))
-    edge = edge.select(key, "source", "n_tokens", (F.col("enteras") + F.col("__x")).alias("repeticiones"))
-    return done.unionByName(edge).where("repeticiones > 0").withColumn("repeticiones", F.col("repeticiones").cast("int"))
+    edge = placed.where("__extra is null").drop("__extra").withColumn("repeticiones", F.lit(0))
+    edge = edge.groupBy("source").applyInPandas(_fill, edge.schema).select(key, "source", "n_tokens", "repeticiones")
+    return done.unionByName(edge).where("repeticiones > 0")
 
 
 def shares(mixed: DataFrame, plan_rows: DataFrame) -> DataFrame:
