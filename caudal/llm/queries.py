@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, components, mixing
+from caudal.llm import bpe, components, langid, mixing
 from caudal.session import Stages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of a mix as large as the corpus, in which small sources reach their cap and others take over."""
     return mixing.shares(*_mixed(spark, sf_dir, True))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "codigo_entidad", "source")
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and wrong labels with the right language, and the languages of mixed texts."""
+    return langid.label_cases(_languages(spark, sf_dir), "doc_id")
+
+
+@query
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document."""
+    return _languages(spark, sf_dir).select("doc_id", "declarada", "lang", "confianza")
+
+
+@query
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every passage, with its place in the text."""
+    return _languages(spark, sf_dir).select("doc_id", F.posexplode("pasajes").alias("pasaje", "p")).select("doc_id", "pasaje", "p.*")
