@@ -31,7 +31,7 @@ FLUSH_WORDS = 200_000
 WHOLE_WORDS, WHOLE_ODDS = 4, 4.0
 
 _MARKUP = re.compile(r"<br\s*/?>|</?(?:p|div|li|td|tr|h\d)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-z][^<>]{0,200}>|&[a-z]{2,8};|&#\d+;|https?://\S+|www\.\S+|(?<!\S)[^\s\d@]*+[\d@]\S*", re.I)
+_TAG = re.compile(r"</?[a-z][^<>]{0,200}>|&[a-z]{2,8};|&#\d+;|https?://\S+|www\.\S+|(?<!\S)[^\s\d@]*+[\d@]\S*?(?=[.!?;:,)\]\"'»”]*(?:\s|$))", re.I)
 _LINE = re.compile(r"[\r\n]+|(?<=[.!?;:)\]\"'»”])\s+(?:/\s+)?(?=\S)|\s/\s|(?<=[.!?])(?=[(\[])")
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESS = re.compile(r"https?://[^/\s:]*\.([a-z]{2,})(?![\w.])", re.I)
