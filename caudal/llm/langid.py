@@ -125,7 +125,7 @@ class TextModel:
         size = n.sum(0) + 1.0
         triples: dict[str, np.ndarray] = {}
         for w, row in zip(words, np.sqrt(n / size * 1e6)):
-            for g in self.grams(w):
+            for g in letter_triples(w):
                 triples[g] = triples.get(g, 0) + row
         total = sum(triples.values()) if triples else np.ones(len(LANGS))
         self.triples = {g: np.log((v + 1.0) / (total + len(triples))).astype(np.float32) for g, v in triples.items()}
@@ -134,24 +134,26 @@ class TextModel:
         log -= log.mean(1, keepdims=True)
         self.words = {w: np.clip(r, -4, 4).astype(np.float32) for w, r in zip(words, log)}
 
-    @staticmethod
-    def grams(word: str) -> list[str]:
-        p = f"^{word}$"
-        return [p[i : i + 3] for i in range(len(p) - 2)]
-
-    def score(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(LANGS), np.float64)
-        for w in words:
-            v = self.words.get(w)
-            if v is None and len(w) <= 40:
-                g = [self.triples[x] for x in self.grams(w) if x in self.triples]
-                if not g:
-                    continue
-                v = np.mean(g, 0)
-                v = np.clip(v - v.mean(), -1, 1)
-            if v is not None:
-                out += v
-        return out
+
+def letter_triples(word: str) -> list[str]:
+    p = f"^{word}$"
+    return [p[i : i + 3] for i in range(len(p) - 2)]
+
+
+def score(words: list[str], known: dict[str, np.ndarray], triples: dict[str, np.ndarray]) -> np.ndarray:
+    """Sum of the words' log-likelihoods by language, relative to the mean of the languages."""
+    out = np.zeros(len(LANGS), np.float64)
+    for w in words:
+        v = known.get(w)
+        if v is None and len(w) <= 40:
+            g = [triples[x] for x in letter_triples(w) if x in triples]
+            if not g:
+                continue
+            v = np.mean(g, 0)
+            v = np.clip(v - v.mean(), -1, 1)
+        if v is not None:
+            out += v
+    return out
 
 
 def fit(df: DataFrame, text: str, lang: Column) -> TextModel:
@@ -174,11 +176,11 @@ def read_passages(df: DataFrame, text: str, keep: list[str], model: TextModel) -
     length are read whole.
     """
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast((model.words, model.triples))
     schema = df.select(*keep).schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        known, triples = sent.value
         kind = pa.list_(pa.struct([("desde", pa.int32()), ("hasta", pa.int32()), ("palabras", pa.int32()), ("letras", pa.int32()), ("odds", pa.list_(pa.float32()))]))
         for batch in batches:
             found, suffixes = [], []
@@ -190,7 +192,7 @@ def read_passages(df: DataFrame, text: str, keep: list[str], model: TextModel) -
                 for a, b in passages(t):
                     words, letters = words_of(t[a:b])
                     if letters:
-                        out.append({"desde": a, "hasta": b, "palabras": len(words), "letras": letters, "odds": m.score(words).tolist()})
+                        out.append({"desde": a, "hasta": b, "palabras": len(words), "letras": letters, "odds": score(words, known, triples).tolist()})
                 found.append(out)
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(suffixes, pa.string()), pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "sufijo", "pasajes"])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, components, langid, mixing
+from caudal.llm import bpe, components, langid, mixing, names
 from caudal.session import Stages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,20 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every passage, with its place in the text."""
     return _languages(spark, sf_dir).select("doc_id", F.posexplode("pasajes").alias("pasaje", "p")).select("doc_id", "pasaje", "p.*")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose differently written names mean the same buyer or person."""
+    buyers = names.variant_pairs(names.link_buyers(table(spark, sf_dir, "entidades")))
+    people = names.variant_pairs(names.link_representatives(table(spark, sf_dir, "nodos")))
+    fields = lambda df, f: df.select(F.lit(f).alias("campo"), "clave_a", "clave_b")
+    return fields(buyers, "nombre_entidad").unionByName(fields(people, "nombre_rep_legal"))
+
+
+@query
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every named record with the group of its name."""
+    buyers = names.link_buyers(table(spark, sf_dir, "entidades")).withColumn("campo", F.lit("nombre_entidad"))
+    people = names.link_representatives(table(spark, sf_dir, "nodos")).withColumn("campo", F.lit("nombre_rep_legal"))
+    return buyers.unionByName(people).select("campo", "clave", "nivel", "grupo")
