@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, components, langid, mixing, names
+from caudal.llm import bpe, components, langid, mixing, names, survivors
 from caudal.session import Stages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,17 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyers = names.link_buyers(table(spark, sf_dir, "entidades")).withColumn("campo", F.lit("nombre_entidad"))
     people = names.link_representatives(table(spark, sf_dir, "nodos")).withColumn("campo", F.lit("nombre_rep_legal"))
     return buyers.unionByName(people).select("campo", "clave", "nivel", "grupo")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, NIT and number of contracts of each buyer that stands under several codes."""
+    entities = table(spark, sf_dir, "entidades")
+    return survivors.chosen_buyers(entities, names.link_buyers(entities))
+
+
+@query
+def p1_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record built for each such buyer from the most probable values, with their probabilities."""
+    entities = table(spark, sf_dir, "entidades")
+    return survivors.surviving_buyers(entities, names.link_buyers(entities))
