@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\r "
+BLANKS = " \t\n\r\u00a0"
 
 
 def levelled_reference(c: Column) -> Column:
