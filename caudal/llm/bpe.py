@@ -141,7 +141,7 @@ def encode(df: DataFrame, text: str, keep: list[str], path: str, ids: str | None
         split = regex.compile(PATTERN).findall
         replay, known = Replay(*model.value), {}
         for whole in batches:
-            column = whole.column(whole.schema.get_field_index("__text"))
+            column = whole.column(len(keep))
             for at, to in _chunks(column):
                 batch = whole.slice(at, to - at)
                 docs = [split(t) if t else [] for t in column.slice(at, to - at).to_pylist()]
@@ -156,7 +156,7 @@ def encode(df: DataFrame, text: str, keep: list[str], path: str, ids: str | None
                     for w in d:
                         flat.extend(look[w])
                     offsets.append(len(flat))
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                columns = [batch.column(i) for i in range(len(keep))]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
                 if count:
