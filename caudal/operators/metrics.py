@@ -114,3 +114,24 @@ def split(df: DataFrame, key: str, label: str, share: float = 0.3, folds: int =
     """
     u = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(seed), F.col(label).cast("string"), F.col(key))), F.lit(8)), 16, 10).cast("double") / 4294967296.0
     return df.withColumn("prueba", u < share).withColumn("pliegue", F.when(u >= share, (F.floor((u - share) / (1 - share) * folds)).cast("int")))
+
+
+def fisher(both: int, only_a: int, only_b: int, neither: int) -> float:
+    """Two-sided exact probability of a 2x2 table: the sum over tables that are no likelier."""
+    from math import exp, lgamma
+
+    rows, columns, n = both + only_a, both + only_b, both + only_a + only_b + neither
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    chance = lambda x: choose(rows, x) + choose(n - rows, columns - x) - choose(n, columns)
+    here = chance(both)
+    return min(1.0, sum(exp(c) for x in range(max(0, rows + columns - n), min(rows, columns) + 1) if (c := chance(x)) <= here + 1e-7))
+
+
+def linear_shapley(df: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """Exact Shapley values of a linear score: weight times distance from the mean, one row a key and feature.
+
+    They add up to the score's distance from the mean score, whatever the order in which features are added.
+    """
+    means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in weights])
+    parts = [F.struct(F.lit(c).alias("rasgo"), (F.lit(w) * (F.col(c) - F.col(f"__m_{c}"))).alias("aporte")) for c, w in weights.items()]
+    return df.crossJoin(F.broadcast(means)).select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.*")
