@@ -116,6 +116,22 @@ def split(df: DataFrame, key: str, label: str, share: float = 0.3, folds: int =
     return df.withColumn("prueba", u < share).withColumn("pliegue", F.when(u >= share, (F.floor((u - share) / (1 - share) * folds)).cast("int")))
 
 
+def places(pred: DataFrame) -> DataFrame:
+    """``pred`` with ``i``, its place by falling score, and ``todas``; ties go by the digest of the id, then by id.
+
+    Places come from counts by score and by range of the digest, so no score shared by many is ordered in one task.
+    """
+    b = F.left(F.md5("id"), F.lit(2))
+    d = pred.withColumn("__b", b)
+    upto = running(d.groupBy("p").agg(F.count(F.lit(1)).alias("__k")), "p", {"__upto": "__k"})
+    within = Window.partitionBy("p").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    part = d.groupBy("p", "__b").agg(F.count(F.lit(1)).alias("__j")).withColumn("__in", F.sum("__j").over(within) - F.col("__j"))
+    before = part.join(upto, "p").select("p", "__b", (F.col("__upto") - F.col("__k") + F.col("__in")).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("p", "__b").orderBy(F.md5("id"), "id"))
+    placed = d.join(before, ["p", "__b"]).withColumn("i", F.col("__before") + at)
+    return placed.crossJoin(F.broadcast(pred.agg(F.count(F.lit(1)).alias("todas")))).select(*pred.columns, "i", "todas")
+
+
 def fisher(both: int, only_a: int, only_b: int, neither: int) -> float:
     """Two-sided exact probability of a 2x2 table: the sum over tables that are no likelier."""
     from math import exp, lgamma

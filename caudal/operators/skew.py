@@ -11,9 +11,10 @@ SALT = "__salt"
 def heavy_candidates(df: DataFrame, side: str, key: str, share: float) -> DataFrame:
     """Every ``(side, key)`` that may hold ``share`` of the rows of its side, from one mergeable sketch a side.
 
-    A frequent-items sketch of c counters errs by at most n / (0.75 c) of the n rows it saw. With c at least
-    8 / share the error stays under a fifth of the threshold, so no heavy key is missed; a few lighter ones may come
-    out too, at most 2 / share a side. That bounds the table whatever the size of the input. Null keys are left out.
+    A frequent-items sketch of c counters errs by at most 3.5 n / c of the n rows it saw. With c at least 8 / share
+    that is under 0.44 of the threshold: a heavy key's lower bound stays above the error, so none is missed, and
+    whatever comes out beside them holds at least 0.56 of the threshold, so at most 2 / share keys a side do. That
+    bounds the table whatever the size of the input. Null keys are left out.
     """
     counters = 1 << max(6, int(8 / share - 1).bit_length())
     top = min(counters, int(2 / share))

@@ -92,9 +92,9 @@ def consolidation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NITs of several codes, with the number of names and three of the codes."""
     x = base.buyers(spark, sf_dir).select(text.digits("nit_entidad").alias("nit"), "codigo_entidad", text.normalised("nombre_entidad").alias("nombre")).where("nit is not null")
     w = Window.partitionBy("nit").orderBy("codigo_entidad")
-    x = x.withColumn("i", F.row_number().over(w)).groupBy("nit")
-    out = x.agg(F.count(F.lit(1)).alias("codigos"), F.count_distinct("nombre").alias("nombres"), F.array_sort(F.collect_list(F.when(F.col("i") <= 3, F.col("codigo_entidad")))).alias("m"))
-    return out.where("codigos > 1").select("nit", "codigos", "nombres", F.array_join("m", ",").alias("muestra"))
+    first = x.withColumn("i", F.row_number().over(w)).where("i <= 3").groupBy("nit").agg(F.array_sort(F.collect_list("codigo_entidad")).alias("m"))
+    many = x.groupBy("nit").agg(F.count(F.lit(1)).alias("codigos"), F.count_distinct("nombre").alias("nombres")).where("codigos > 1")
+    return many.join(first, "nit").select("nit", "codigos", "nombres", F.array_join("m", ",").alias("muestra"))
 
 
 @query(

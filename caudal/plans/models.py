@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caudal.functions.casts import displayed
 from caudal.operators import metrics
@@ -88,12 +87,9 @@ def top_seeded_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_PRED}, t AS (SELECT id, row_number() OVER (ORDER BY p DESC, id) AS i, count(*) OVER () AS n FROM pred) SELECT id, i <= round(n * 0.1) AS etiqueta FROM t"
+    f"WITH {_PRED}, t AS (SELECT id, row_number() OVER (ORDER BY p DESC, md5(id), id) AS i, count(*) OVER () AS n FROM pred) SELECT id, i <= round(n * 0.1) AS etiqueta FROM t"
 )
 def top_decile_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label for exactly a tenth of the suppliers; places come from running sums over score ranges."""
-    d = predictions(spark, sf_dir)
-    g = metrics.running(d.groupBy("p").agg(F.count(F.lit(1)).alias("k")), "p", {"hasta": "k"})
-    within = F.row_number().over(Window.partitionBy("p").orderBy("id"))
-    placed = d.join(g, "p").withColumn("i", F.col("hasta") - F.col("k") + within).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("todas"))))
+    """A label for exactly a tenth of the suppliers."""
+    placed = metrics.places(predictions(spark, sf_dir))
     return placed.select("id", (F.col("i") <= F.round(F.col("todas") * 0.1)).alias("etiqueta"))

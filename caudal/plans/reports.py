@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caudal.functions import casts, text
 from caudal.operators import graph, metrics
@@ -61,14 +60,11 @@ def linkage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PRED}, o AS (SELECT 1), r AS (SELECT *, ntile(10) OVER (ORDER BY p DESC, id) AS decil FROM pred) SELECT CAST(decil AS INTEGER) AS decil, count(*) AS actores, CAST(sum(y) AS BIGINT) AS positivos, round(avg(p) + 1e-7, 4) AS media FROM r GROUP BY 1""".replace(", o AS (SELECT 1)", "")
+    f"""WITH {_PRED}, o AS (SELECT 1), r AS (SELECT *, ntile(10) OVER (ORDER BY p DESC, md5(id), id) AS decil FROM pred) SELECT CAST(decil AS INTEGER) AS decil, count(*) AS actores, CAST(sum(y) AS BIGINT) AS positivos, round(avg(p) + 1e-7, 4) AS media FROM r GROUP BY 1""".replace(", o AS (SELECT 1)", "")
 )
 def score_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenths of the ordering. The place of a row comes from running sums over ranges of the score, not from one sorted task."""
-    d = predictions(spark, sf_dir)
-    g = metrics.running(d.groupBy("p").agg(F.count(F.lit(1)).alias("k")), "p", {"hasta": "k"})
-    within = F.row_number().over(Window.partitionBy("p").orderBy("id"))
-    placed = d.join(g, "p").withColumn("i", F.col("hasta") - F.col("k") + within).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("todas"))))
+    """Tenths of the ordering."""
+    placed = metrics.places(predictions(spark, sf_dir))
     size, extra = F.expr("todas div 10"), F.col("todas") % 10
     long = (size + 1) * extra
     decile = F.when(F.col("i") <= long, F.expr("(i - 1) div (todas div 10 + 1)")).otherwise(extra + F.floor((F.col("i") - 1 - long) / F.greatest(size, F.lit(1))))

@@ -304,11 +304,12 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_CONTACTS}) WHERE valor IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT codigo_proveedor) > 1"""
 )
 def shared_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contact values of several suppliers with the first three of them."""
+    """Contact values of several suppliers with the first three of them; the limit is applied before the shuffle."""
+    k = contacts(spark, sf_dir)
     w = Window.partitionBy("canal", "valor").orderBy("codigo_proveedor")
-    few = contacts(spark, sf_dir).withColumn("i", F.row_number().over(w))
-    out = few.groupBy("canal", "valor").agg(F.count(F.lit(1)).alias("proveedores"), F.array_sort(F.collect_list(F.when(F.col("i") <= 3, F.col("codigo_proveedor")))).alias("m"))
-    return out.where("proveedores > 1").select("canal", "valor", "proveedores", F.array_join("m", ",").alias("muestra"))
+    first = k.withColumn("i", F.row_number().over(w)).where("i <= 3").groupBy("canal", "valor").agg(F.array_sort(F.collect_list("codigo_proveedor")).alias("m"))
+    many = k.groupBy("canal", "valor").agg(F.count(F.lit(1)).alias("proveedores")).where("proveedores > 1")
+    return many.join(first, ["canal", "valor"]).select("canal", "valor", "proveedores", F.array_join("m", ",").alias("muestra"))
 
 
 @query(
