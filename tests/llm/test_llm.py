@@ -336,3 +336,14 @@ def test_chosen_record(spark):
 def test_levels_agree_with_the_standard(spark):
     assert names.level("ÑANDÚ (x)") == "".join(c for c in unicodedata.normalize("NFKD", "ñandú x").upper() if c.isalnum())
     assert np.array_equal(names.gram_codes("ANA"), names.gram_codes("ANA"))
+
+
+def test_name_similarity():
+    one = lambda a, b: names.monge_elkan(a.split(), b.split(), [1.0] * len(a.split()), [1.0] * len(b.split()))
+    assert one("ANA RUIZ", "RUIZ ANA") == (1.0, 1.0)
+    assert one("LUISJAIRO MUGALNA", "LUIS JAIRO MUGALNA") == (1.0, 1.0)
+    assert one("ANA RUIZ", "ANA RUIZ LOPERA") == (1.0, 2 / 3)
+    assert one("A RUIZ", "ANA RUIZ")[1] > 0.9
+    assert one("ZECRETARIA", "SECRETARIA")[0] > 0.9
+    assert one("SALUD", "EDUCACION") == (0.0, 0.0)
+    assert names.monge_elkan([], ["X"], [], [1.0]) == (0.0, 0.0)
