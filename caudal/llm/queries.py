@@ -15,6 +15,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+_ID = "upper(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
+_GROUPS = f"""WITH RECURSIVE x AS (SELECT {_ID.format(c='unique_id_l')} AS l, {_ID.format(c='unique_id_r')} AS r FROM pares WHERE match_probability >= 0.95 AND NOT isnan(match_probability)),
+    s AS MATERIALIZED (SELECT l AS id, r AS other FROM x WHERE l <> '' AND r <> '' AND l <> r UNION SELECT r, l FROM x WHERE l <> '' AND r <> '' AND l <> r),
+    t(id, c) AS (SELECT DISTINCT id, id FROM s UNION SELECT s.other, t.c FROM t JOIN s USING (id) WHERE t.c < s.other), g AS (SELECT id AS id_nodo, min(c) AS id_grupo FROM t GROUP BY id)"""
+SQL["p2_found"] = f"{_GROUPS} SELECT id_nodo, id_grupo FROM g"
+SQL["p2_groups"] = f"{_GROUPS}, n AS (SELECT DISTINCT {_ID.format(c='id_nodo')} AS id_nodo FROM nodos WHERE id_nodo IS NOT NULL) SELECT id_nodo, coalesce(id_grupo, id_nodo) AS id_grupo FROM n FULL JOIN g USING (id_nodo)"
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
