@@ -90,7 +90,9 @@ def bootstrap(pred: DataFrame, replicates: int, seed: str = "b") -> DataFrame:
     w = F.lit(0)
     for k, c in enumerate([0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]):
         w = F.when(u >= c, k + 1).otherwise(w)
-    g = pred.select("id", "y", "p").crossJoin(F.broadcast(r)).select("r", "p", w.cast("long").alias("w"), "y").where("w > 0")
+    # Rows are multiplied by the replicates next, so they are spread over all cores first, however few they are.
+    spread = pred.select("id", "y", "p").repartition(pred.sparkSession.sparkContext.defaultParallelism, "id")
+    g = spread.crossJoin(F.broadcast(r)).select("r", "p", w.cast("long").alias("w"), "y").where("w > 0")
     g = g.groupBy("r", "p").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
     order = Window.partitionBy("r").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.sum("n").over(order) - F.col("n") + (F.col("n") + 1) / 2.0
