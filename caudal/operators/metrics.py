@@ -87,9 +87,15 @@ def bootstrap(pred: DataFrame, replicates: int, seed: str = "b") -> DataFrame:
     """
     r = pred.sparkSession.range(replicates).select(F.col("id").cast("int").alias("r"))
     u = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), F.col("id"))), F.lit(8)), 16, 10).cast("double") / 4294967296.0
-    w = F.lit(0)
-    for k, c in enumerate([0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]):
-        w = F.when(u >= c, k + 1).otherwise(w)
+
+    def poisson(x: Column) -> Column:
+        w = F.lit(0)
+        for k, c in enumerate([0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]):
+            w = F.when(x >= c, k + 1).otherwise(w)
+        return w
+
+    # As an argument of a lambda the digest is computed once, not once a branch.
+    w = F.transform(F.array(u), poisson)[0]
     # Rows are multiplied by the replicates next, so they are spread over all cores first, however few they are.
     spread = pred.select("id", "y", "p").repartition(pred.sparkSession.sparkContext.defaultParallelism, "id")
     g = spread.crossJoin(F.broadcast(r)).select("r", "p", w.cast("long").alias("w"), "y").where("w > 0")
