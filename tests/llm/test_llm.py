@@ -246,6 +246,31 @@ def test_candidates_against_all_pairs(spark):
     assert found & similar == split & similar
 
 
+def test_features_do_not_depend_on_counts(spark):
+    from caudal.session import Stages
+
+    words = ["J", "CARLOS", "GARCIA", "LOPEZ"]
+    assert np.array_equal(names.features(words, [9, 30, 40, 60], 1000), names.features(words, [90, 300, 400, 600], 10_000))
+    nodes = spark.createDataFrame([(1, "ANA RUIZ", "", [1, 1]), (2, "BETO SOLO", "", [1, 1])], "node long, palabras string, lugar string, veces array<long>")
+    idents = spark.createDataFrame([(1, "1000000001"), (2, "1000000001")], "node long, ident string")
+    assert rows(names.candidates(nodes, Stages(spark, "t"), idents)) == [(1, 2)]
+
+
+def test_the_bound_drops_no_kept_pair():
+    data, _ = spelled(3, 40)
+    each = sorted({" ".join(names.words(t, names.PEOPLE)) for _, t, _ in data} | {"MARIA DELMAR BARETI", "MARIA DEL MAR BARETI"})
+    lexicon = names.Lexicon()
+    lexicon.add([w for t in each for w in t.split()])
+    ids, weights = np.zeros((len(each), 5), np.int64), np.zeros((len(each), 5), np.float32)
+    for i, t in enumerate(each):
+        for k, w in enumerate(t.split()):
+            ids[i, k], weights[i, k] = lexicon.ids[w], names.word_weight(w, 1, len(each))
+    keep = lexicon.hopeful(ids, weights, ids, weights)
+    for (i, x), (j, y) in itertools.combinations(enumerate(each), 2):
+        mx, mn = names.monge_elkan(x.split(), y.split(), [float(w) for w in weights[i] if w], [float(w) for w in weights[j] if w])
+        assert keep[i, j] or mx < names.LEAST[0] or mn < names.LEAST[1]
+
+
 def test_namesakes_stay_apart(spark):
     data = [("a1", "ANA RUIZ LOPERA", "1000000001"), ("a2", "Ana  Ruis Lopera", "1000000001"), ("b1", "ANA RUIZ LOPERA", "1099887766"), ("b2", "RUIZ LOPERA ANA", "1099887766"), ("c", "ANA RUIZ LOPERA", None)]
     df = spark.createDataFrame(data, "id string, name string, doc string")
