@@ -271,6 +271,14 @@ def test_the_bound_drops_no_kept_pair():
         assert keep[i, j] or mx < names.LEAST[0] or mn < names.LEAST[1]
 
 
+@pytest.mark.parametrize("a, b", [("JUAN CARLOS GARCIA LOPEZ", "JAUN CARLOS GARCIA LOPEZ"), ("JUAN CARLOS GARCIA LOPEZ", "JUAN CARLOS GACRIA LOPEZ"), ("JUAN GARCIA", "JUAN GARICA")])
+def test_common_words_and_their_misspellings_collide(a, b):
+    n = 30_000
+    count = lambda w: {"JUAN": 3000, "CARLOS": 2000, "GARCIA": 10_000, "LOPEZ": 900}.get(w, 1)
+    x, y = (set(names.features(t.split(), [count(w) for w in t.split()], n).tolist()) for t in (a, b))
+    assert names.collision(len(x & y) / len(x | y), *names.banding(names.SIMILAR, names.RECALL, names.MOST_HASHES)) >= names.RECALL
+
+
 def test_namesakes_stay_apart(spark):
     data = [("a1", "ANA RUIZ LOPERA", "1000000001"), ("a2", "Ana  Ruis Lopera", "1000000001"), ("b1", "ANA RUIZ LOPERA", "1099887766"), ("b2", "RUIZ LOPERA ANA", "1099887766"), ("c", "ANA RUIZ LOPERA", None)]
     df = spark.createDataFrame(data, "id string, name string, doc string")
