@@ -114,25 +114,29 @@ def k_core(pairs: DataFrame, k: int, rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"not done after {rounds} rounds")
 
 
-def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """``id, comunidad`` by synchronous label propagation: heaviest label among the neighbours, then the smallest.
+def communities(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+    """``id, comunidad`` by label propagation: heaviest label among the neighbours, then the smallest.
 
-    Own weight takes part with the strength of the vertex, which stops two-colour oscillation; deterministic.
+    A vertex wants to move only where another label is heavier than its own. Of linked vertices that want to, the one
+    with the largest digest of id and round moves, so each move adds to the weight within communities and the
+    labels come to rest. Running out of rounds is an error.
     """
     stages = Stages(pairs.sparkSession, "communities")
-    sides = both_ways(pairs)
-    own = sides.groupBy("id").agg((F.max("w") * 0.5).alias("w")).select("id", F.col("id").alias("other"), "w")
-    sides = stages.cut(sides.unionByName(own), "sides")
-    labels = stages.cut(own.select("id", F.col("id").alias("comunidad")), "labels")
-    for _ in range(rounds):
+    sides = stages.cut(both_ways(pairs), "sides")
+    labels = stages.cut(sides.select("id").distinct().select("id", F.col("id").alias("comunidad")), "labels")
+    for turn in range(rounds):
         seen = sides.join(labels.select(F.col("id").alias("other"), "comunidad"), "other").groupBy("id", "comunidad").agg(F.round(F.sum("w"), 6).alias("w"))
-        best = seen.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "comunidad")).alias("b")).select("id", F.col("b.comunidad").alias("comunidad"))
-        new = stages.cut(best.join(labels.withColumnRenamed("comunidad", "old"), "id"), "labels")
-        moved = new.where("comunidad <> old").limit(1).count()
-        labels = new.select("id", "comunidad")
-        if not moved:
-            break
-    return labels
+        seen = seen.join(labels.withColumnRenamed("comunidad", "own"), "id")
+        best = seen.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "comunidad")).alias("b"), F.max(F.when(F.col("comunidad") == F.col("own"), F.col("w")).otherwise(0.0)).alias("held"))
+        want = best.where(-F.col("b.w") > F.col("held")).select("id", F.col("b.comunidad").alias("new"), F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id").alias("k"))
+        want = stages.cut(want, "want")
+        if not want.limit(1).count():
+            return labels
+        rival = want.select(F.col("id").alias("other"), F.col("k").alias("ko"))
+        over = sides.join(want.select("id", "k"), "id").join(rival, "other").where("ko > k").select("id").distinct()
+        moves = want.join(over, "id", "left_anti").select("id", "new")
+        labels = stages.cut(labels.join(moves, "id", "left").select("id", F.coalesce("new", "comunidad").alias("comunidad")), "labels")
+    raise RuntimeError(f"labels still moved after {rounds} rounds")
 
 
 def modularity(pairs: DataFrame, labels: DataFrame, label: str) -> DataFrame:

@@ -125,6 +125,15 @@ def test_modularity_of_two_cliques(spark):
     assert abs(q - (12 / 13 - 2 * (13 / 26) ** 2)) < 1e-9
 
 
+def test_communities_come_to_rest(spark):
+    pairs = [("a", "b"), *[("hub", f"leaf{i}") for i in range(5)]]
+    und = graph.undirected(spark.createDataFrame(pairs, "x string, y string"), "x", "y")
+    by = {r["id"]: r["comunidad"] for r in graph.communities(und).collect()}
+    assert by["a"] == by["b"] and len({c for i, c in by.items() if i not in "ab"}) == 1
+    with pytest.raises(RuntimeError):
+        graph.communities(und, rounds=1)
+
+
 def test_k_core(spark):
     und = graph.undirected(spark.createDataFrame([*itertools.combinations("abcd", 2), ("d", "e"), ("e", "f")], "x string, y string"), "x", "y")
     assert rows(graph.k_core(und, 3).select("a", "b")) == sorted(itertools.combinations("abcd", 2))
