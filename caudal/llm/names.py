@@ -28,6 +28,8 @@ class Naming:
     #: Least Monge-Elkan similarity in the better and in the worse direction; with an agreeing identifier; without.
     agreeing: tuple[float, float] = (0.72, 0.35)
     alone: tuple[float, float] = (0.90, 0.60)
+    #: Jaccard similarity of padded grams at which the banding reaches its recall.
+    similar: float = 0.55
 
 
 #: Abbreviations of Spanish names of public bodies (fixed values).
@@ -46,6 +48,7 @@ ORGANISATIONS = Naming(
     },
     noise=frozenset("DE DEL LA LAS LOS EL EN Y E S A SA H ESE SOCIAL ESTADO OF OFICIAL OFICIALES SEDE PRINCIPAL NIVEL CENTRAL COLOMBIA LTDA SAS".split()),
     alone=(0.85, 0.40),
+    similar=0.3,
 )
 #: Titles and usual short forms of Spanish given names (fixed values).
 PEOPLE = Naming(
@@ -74,16 +77,13 @@ NO_NAME = frozenset("NODEFINIDO NOPROVISTO NOAPLICA NOADJUDICADO SINDESCRIPCION
 NO_IDENTIFIER = ["123456789", "1234567890", "12345678", "987654321"]
 
 GRAM = 3
-#: A name is a candidate for another above this Jaccard similarity of their features, with this probability.
-SIMILAR, RECALL, MOST_HASHES = 0.3, 0.95, 128
-#: A word in up to this many names weighs in full.
-RARE = 64
+#: Names become candidates when they agree in AGREE bands or more. Two names of the Jaccard similarity that their naming
+#: states do so with probability RECALL or more; a signature has up to MOST_HASHES hashes.
+AGREE, RECALL, MOST_HASHES = 2, 0.95, 512
 #: Least similarity in the better and in the worse direction of a pair of names that is kept.
 LEAST = (0.7, 0.3)
-#: Buckets up to this size are paired as they are; in larger ones pairs that can't reach LEAST are left out first.
-FEW = 24
 #: Buckets above this size are cut into blocks of about this size, and every two blocks compared.
-BUCKET = 200
+BLOCK = 256
 
 
 def repair(text: str) -> str:
@@ -129,17 +129,19 @@ def words(text: str | None, naming: Naming) -> list[str]:
     return list(out)
 
 
-def collision(similarity: float, rows: int, bands: int) -> float:
-    return 1 - (1 - similarity**rows) ** bands
+def collision(similarity: float, rows: int, bands: int, agree: int = AGREE) -> float:
+    """Probability that two sets of this Jaccard similarity agree in ``agree`` or more bands."""
+    p = similarity**rows
+    return 1 - sum(math.comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(agree))
 
 
 def banding(similarity: float, recall: float, most: int) -> tuple[int, int]:
     """The most rows a band, and the fewest such bands, with which the collision curve reaches ``recall`` at ``similarity``."""
     for rows in range(16, 0, -1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
-        if rows * bands <= most:
-            return rows, bands
-    return 1, most
+        for bands in range(AGREE, most // rows + 1):
+            if collision(similarity, rows, bands) >= recall:
+                return rows, bands
+    raise ValueError(f"no banding of {most} hashes reaches {recall} at {similarity}")
 
 
 def grams(word: str) -> list[str]:
@@ -273,8 +275,8 @@ def gram_codes(word: str) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def features(words: list[str], counts: list[int], n: int, codes: Callable[[str], np.ndarray] = gram_codes) -> np.ndarray:
-    """Hashed features of a name: the padded grams of all of its words, however many of the ``n`` names have them.
+def features(words: list[str], codes: Callable[[str], np.ndarray] = gram_codes) -> np.ndarray:
+    """Hashed features of a name: the padded grams of all of its words.
 
     They depend on the name alone, so a name and its misspelling are compared alike in inputs of any size.
     """
@@ -282,8 +284,8 @@ def features(words: list[str], counts: list[int], n: int, codes: Callable[[str],
 
 
 def word_weight(word: str, count: int, n: int) -> float:
-    """1 up to a hundredth of all names (or RARE names), and less the more of them have the word; half for an initial."""
-    weight = 1.0 if count <= RARE else min(1.0, max(0.15, math.log(count / n) / math.log(0.01)))
+    """1 up to a hundredth of all names, and less the more of them have the word; half for an initial."""
+    weight = min(1.0, max(0.15, math.log(count / n) / math.log(0.01)))
     return weight * (0.5 if len(word) == 1 else 1.0)
 
 
@@ -291,203 +293,23 @@ def place_words(place: str) -> frozenset[str]:
     return frozenset(place.split("|")[0].split(" "))
 
 
-class Lexicon:
-    """Arrays of the words met so far, to bound the similarity of many pairs of names at once."""
-
-    DEPTH = 4  # occurrences of a letter that are told apart
-
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.words, self.known = [""], {}
-        self.length, self.over, self.last = np.ones(1, np.float32), np.zeros(1, np.float32), np.zeros(1, np.int32)
-        self.start, self.bag = np.zeros((1, 4), np.int32), np.zeros((1, 32 * self.DEPTH), np.float32)
-
-    def add(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if not new:
-            return
-        at = len(self.ids) + 1
-        if at + len(new) > len(self.length):
-            room = max(1024, len(self.length), len(new) + 1)
-            for k in ("length", "over", "last", "start", "bag"):
-                x = getattr(self, k)
-                setattr(self, k, np.concatenate([x, np.zeros((room, *x.shape[1:]), x.dtype)]))
-        for i, w in enumerate(new, at):
-            self.ids[w] = i
-            self.words.append(w)
-            self.length[i], self.last[i] = len(w), ord(w[-1])
-            self.start[i, : min(4, len(w))] = [ord(c) for c in w[:4]]
-            seen = [0] * 32
-            for c in w:
-                c = ord(c) % 32
-                if seen[c] < self.DEPTH:
-                    self.bag[i, c * self.DEPTH + seen[c]] = 1
-                else:
-                    self.over[i] += 1
-                seen[c] += 1
-
-    def agree(self, x: int, y: int) -> bool:
-        key = (x, y) if x < y else (y, x)
-        got = self.known.get(key)
-        if got is None:
-            if len(self.known) >= 1_000_000:
-                self.known.clear()
-            got = self.known[key] = word_similarity(self.words[x], self.words[y]) >= 0.8
-        return got
-
-    def may_agree(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words ``x`` by words ``y``: does their similarity reach 0.8; may y be a part of a compound x; and x of y.
-
-        Letters in common, in whatever order, bound the Jaro similarity from above; few are left to compare. A compound needs 0.93, so few
-        letters of either part may be missing in it.
-        """
-        m = self.bag[x] @ self.bag[y].T + np.minimum(self.over[x][:, None], self.over[y])
-        lx, ly = self.length[x][:, None], self.length[y][None, :]
-        sx, sy = self.start[x], self.start[y]
-        same = (sx[:, None, 0] == sy[None, :, 0]) & (sx[:, 0] > 0)[:, None]
-        first, prefix = same, same.astype(np.float32)
-        for i in range(1, 4):
-            same = same & (sx[:, None, i] == sy[None, :, i]) & (sx[:, i] > 0)[:, None]
-            prefix += same
-        last = (self.last[x][:, None] == self.last[y]) & (self.last[x] > 0)[:, None]
-        jaro = (m / lx + m / ly + 1) / 3
-        short = np.minimum(lx, ly)
-        begins = (m >= short) & (prefix >= np.minimum(4, short))
-        good = (first | last) & (((m > 0) & (jaro + prefix * 0.1 * (1 - jaro) >= 0.8 - 1e-4)) | begins)
-        for i, j in zip(*np.nonzero(good)):
-            good[i, j] = self.agree(int(x[i]), int(y[j]))
-        there = (x > 0)[:, None] & (y > 0)
-        part_y = there & (lx >= 7) & (ly <= lx) & (ly - m <= 0.175 * (lx + 1) + 0.5)
-        part_x = there & (ly >= 7) & (lx <= ly) & (lx - m <= 0.175 * (ly + 1) + 0.5)
-        return good, part_y, part_x
-
-    def hopeful(self, a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> np.ndarray:
-        """Of names by names (rows of word ids, 0 at the end, and their weights): may the pair reach LEAST.
-
-        Never False for a pair whose Monge-Elkan similarity does: each word that may agree with any counts in full.
-        """
-        x, ia = np.unique(a, return_inverse=True)
-        y, ib = np.unique(b, return_inverse=True)
-        ia, ib = ia.reshape(a.shape), ib.reshape(b.shape)
-        good, part_y, part_x = self.may_agree(x, y)
-
-        def score(hit: np.ndarray, other: np.ndarray, weights: np.ndarray) -> np.ndarray:
-            got = np.zeros((len(hit), len(other)), np.float32)
-            for k in range(other.shape[1]):
-                got += hit[:, other[:, k]] * weights[:, k]
-            return got / np.maximum(weights.sum(1), 1e-9)
-
-        def of_name(one: np.ndarray, words: np.ndarray, kind: type) -> np.ndarray:
-            out = np.zeros((len(one), words.shape[1]), np.uint8)
-            for k in range(one.shape[1]):
-                out += words[one[:, k]]
-            return out > 0 if kind is bool else out
-
-        def reach(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-            return (np.maximum(u, v) >= LEAST[0] - 1e-4) & (np.minimum(u, v) >= LEAST[1] - 1e-4)
-
-        by_a, by_b = of_name(ia, good, bool), of_name(ib, good.T, bool)
-        out = reach(score(by_a.astype(np.float32), ib, wb), score(by_b.astype(np.float32), ia, wa).T)
-        # A word of one name may be two of the other's run together: then all of its possible parts count.
-        whole_y, whole_x = of_name(ia, part_x, int) > 1, of_name(ib, part_y.T, int) > 1
-        if whole_y.any() or whole_x.any():
-            run = np.zeros(out.shape, bool)
-            for k in range(ib.shape[1]):
-                run |= whole_y[:, ib[:, k]]
-            for k in range(ia.shape[1]):
-                run |= whole_x[:, ia[:, k]].T
-            if (run & ~out).any():
-                u = score((by_a | of_name(ia, part_y, bool) | whole_y).astype(np.float32), ib, wb)
-                v = score((by_b | of_name(ib, part_x.T, bool) | whole_x).astype(np.float32), ia, wa).T
-                out |= run & reach(u, v)
-        return out
-
-
-def block_pairs(screened: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of the names of a cell, whose rows ``bucket, lo, hi, side, node, words`` follow each other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
-
-        @lru_cache(maxsize=200_000)
-        def parsed(text: str) -> tuple[list[int], list[float]]:
-            each = [part.rpartition(":") for part in text.split(" ")]
-            lexicon.add([w for w, _, _ in each])
-            return [lexicon.ids[w] for w, _, _ in each], [float(x) for _, _, x in each]
-
-        def matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            got = [parsed(t) for t in texts]
-            ids, weights = np.zeros((len(got), max(len(i) for i, _ in got)), np.int64), np.zeros((len(got), max(len(i) for i, _ in got)), np.float32)
-            for r, (i, w) in enumerate(got):
-                ids[r, : len(i)], weights[r, : len(i)] = i, w
-            return ids, weights
-
-        def pairs(side: list[int], node: list[int], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            nodes, right = np.array(node, np.int64), np.array(side, bool)
-            one, two = np.flatnonzero(~right), np.flatnonzero(right)
-            within = not len(two)
-            if within:
-                two = one
-            keep = (nodes[one][:, None] < nodes[two]) if within else (nodes[one][:, None] != nodes[two])
-            if screened and keep.any():
-                a = matrix([words[i] for i in one])
-                b = a if within else matrix([words[i] for i in two])
-                keep &= lexicon.hopeful(*a, *b)
-            i, j = np.nonzero(keep)
-            x, y = nodes[one][i], nodes[two][j]
-            return np.minimum(x, y), np.maximum(x, y)
-
-        cell, held, half = None, ([], [], []), False
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
-            columns = [batch.column(i).to_pylist() for i in range(3, 6)]
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1 if len(keys) else []
-            edges = [0, *cuts, len(keys)] if len(keys) else []
-            for lo, hi in zip(edges, edges[1:]):
-                key = tuple(keys[lo])
-                if key != cell:
-                    if cell and (half or cell[1] == cell[2]):
-                        done.append(pairs(*held))
-                    cell, held, half = key, ([], [], []), False
-                for h, c in zip(held, columns):
-                    h.extend(c[lo:hi])
-                half = held[0][-1] == 1 and held[0][0] == 0
-            if sum(len(x) for x, _ in done) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], names=["a", "b"])
-                done = []
-        if cell and (half or cell[1] == cell[2]):
-            done.append(pairs(*held))
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], names=["a", "b"])
-
-    return run
-
-
-def candidates(nodes: DataFrame, stages: Stages, idents: DataFrame | None = None, screened: bool = False) -> DataFrame:
+def candidates(nodes: DataFrame, stages: Stages, similar: float, idents: DataFrame | None = None) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of nodes of the same ``lugar`` whose features are likely similar.
 
-    MinHash signatures of the features (``features``) are cut into bands; names that agree in a band share a bucket. The rows
-    of a band and the number of bands follow from the collision curve at SIMILAR and RECALL. Nodes are distinct
-    names, so copies never fill a bucket. All names of a bucket are paired, whatever its size: a large one is cut into
-    blocks of about BUCKET names, and each pair of blocks is a cell of its own. Nodes with an equal identifier in
-    ``idents(node, ident)`` share a bucket too, however far apart their spellings are. With ``screened``, pairs of buckets above FEW that
-    ``verified`` would drop by an upper bound of their similarity are left out before they are shuffled.
+    MinHash signatures of the features (``features``) are cut into bands; names that agree in a band share a bucket, and
+    those that share AGREE buckets are candidates. The rows of a band and the number of bands follow from the collision
+    curve at ``similar`` and RECALL. Nodes are distinct names, so copies never fill a bucket. Nodes with an equal
+    identifier in ``idents(node, ident)`` are candidates too, however far apart their spellings are.
     """
-    rows, bands = banding(SIMILAR, RECALL, MOST_HASHES)
+    rows, bands = banding(similar, RECALL, MOST_HASHES)
     mult, add = _hashes(rows, bands)
-    whole_size = nodes.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = lru_cache(maxsize=100_000)(gram_codes)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                sets, texts = [], []
-                for t, place, n in zip(*[batch.column(i).to_pylist() for i in range(1, 4)]):
-                    words, light = t.split(" "), place_words(place)
-                    sets.append(features(words, n, whole_size, codes))
-                    texts.append(" ".join(f"{w}:{0.1 if w in light else word_weight(w, c, whole_size):.6f}" for w, c in zip(words, n)))
+                sets = [features(t.split(" "), codes) for t in batch.column(1).to_pylist()]
                 signature = np.empty((len(sets), rows * bands), np.uint64)
                 for i, s in enumerate(sets):
                     signature[i] = ((s[:, None] * mult + add) >> np.uint64(32)).min(0)
@@ -496,32 +318,39 @@ def candidates(nodes: DataFrame, stages: Stages, idents: DataFrame | None = None
                     key = (key ^ signature[:, r::rows][:, :bands]) * np.uint64(1099511628211)
                 key = key ^ (np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())), pa.array(texts, pa.string())],
-                    names=["node", "lugar", "bands", "words"],
+                    [batch.column(0), batch.column(2), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))],
+                    names=["node", "lugar", "bands"],
                 )
 
-    signed = nodes.select("node", "palabras", "lugar", "veces").mapInArrow(run, "node long, lugar string, bands array<long>, words string")
+    signed = nodes.select("node", "palabras", "lugar").mapInArrow(run, "node long, lugar string, bands array<long>")
     signed = stages.cut(signed, "signed")
-    rowed = signed.select("node", "words", F.explode("bands").alias("band"), "lugar").select("node", "words", F.xxhash64("band", "lugar").alias("bucket"))
+    rowed = signed.select("node", F.explode("bands").alias("band"), "lugar").select("node", F.xxhash64("band", "lugar").alias("bucket"))
+    pairs = bucket_pairs(rowed, stages, "bands").withColumn("n", F.lit(1))
     if idents is not None:
-        rowed = rowed.unionByName(signed.join(idents, "node").select("node", "words", F.xxhash64(F.lit("ident"), "ident", "lugar").alias("bucket")))
-    return bucket_pairs(rowed, stages, screened)
-
-
-def bucket_pairs(rowed: DataFrame, stages: Stages, screened: bool) -> DataFrame:
-    """``(a, b)``, ``a < b``: the pairs of nodes that share a bucket in ``rowed(node, words, bucket)``, as ``candidates`` says."""
-    sized = stages.cut(rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    # The rows of the bands are many times the table they come from, which an estimate of their size doesn't know.
-    joined = rowed.hint("merge").join(sized, "bucket")
-    few = min(FEW, BUCKET)
-    grouped = joined.where(F.col("size") <= few).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("all"))
-    each = grouped.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    parts = F.ceil(F.col("size") / BUCKET).cast("long")
-    many = joined.where(F.col("size") > few).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "bucket"), "parts"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = many.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "words")
-    cells = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "side")
-    return each.unionByName(cells.mapInArrow(block_pairs(screened), "a long, b long")).where("a <> b").distinct()
+        same = signed.join(idents, "node").select("node", F.xxhash64(F.lit("ident"), "ident", "lugar").alias("bucket"))
+        pairs = pairs.unionByName(bucket_pairs(same, stages, "idents").withColumn("n", F.lit(AGREE)))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= AGREE).select("a", "b")
+
+
+def bucket_pairs(rowed: DataFrame, stages: Stages, tag: str, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``, ``a < b``: for each bucket of ``rowed(node, bucket)`` all pairs of its nodes, whatever its size.
+
+    A bucket above ``block`` nodes is cut into blocks by a hash of the node, and every two blocks are a cell of
+    their own, so no task holds more than two blocks of a bucket at a time. A pair comes out once for each bucket.
+    """
+    large = rowed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    large = stages.cut(large.select("bucket", F.ceil(F.col("size") / block).cast("int").alias("parts")), f"large-{tag}")
+    cut = rowed.join(large, "bucket", "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node", "bucket"), "parts").cast("int")).otherwise(0)
+    cut = cut.select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    side = F.struct((F.col("part") > F.col("other")).alias("right"), "node")
+    cells = cut.groupBy("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).agg(F.sort_array(F.collect_list(side)).alias("all"))
+    cells = cells.where(F.size("all") > 1)
+    # Within a block each node meets those after it; between two blocks each of the left ones meets all of the right ones.
+    first = F.when(F.col("lo") == F.col("hi"), F.col("i") + 2).otherwise(F.size(F.filter("all", lambda x: ~x["right"])) + 1)
+    each = cells.select("lo", "hi", "all", F.posexplode("all").alias("i", "one")).where("not one.right")
+    each = each.select(F.col("one.node").alias("x"), F.explode(F.slice("all", first, F.size("all"))).alias("two"))
+    return each.select(F.least("x", "two.node").alias("a"), F.greatest("x", "two.node").alias("b")).where("a <> b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -660,10 +489,11 @@ def link_names(
     profiles = stages.cut(read.groupBy("id", "node", "ident").agg(F.count(F.lit(1)).alias("n")), "profiles")
     main = read.groupBy("node").agg(F.max("main").alias("main"), F.count_distinct("ident").alias("idents"), F.bool_or(F.col("ident").isNull()).alias("bare"))
     main = stages.cut(main, "main")
-    nodes = read.groupBy("node").agg(F.first("palabras").alias("palabras"), F.first("lugar").alias("lugar"))
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.raise_error(F.lit("two names of one hash")))
+    nodes = read.groupBy("node").agg(one("palabras").alias("palabras"), one("lugar").alias("lugar"))
     nodes = stages.cut(with_frequencies(stages.cut(nodes, "words")), "nodes")
     idents = profiles.where("ident is not null").select("node", "ident").distinct()
-    found = stages.cut(verified(stages.cut(candidates(nodes, stages, idents, screened=True), "pairs"), nodes), "verified")
+    found = stages.cut(verified(stages.cut(candidates(nodes, stages, naming.similar, idents), "pairs"), nodes), "verified")
     links = stages.cut(profile_links(found, profiles, main, naming), "links")
     clusters = star_clusters(links, profiles.select("id", "n"), stages)
     grouped = read.join(clusters, "id", "left").select("clave", "nivel", F.coalesce("center", "id").alias("grupo"))
