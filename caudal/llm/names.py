@@ -21,7 +21,7 @@ from caudal.session import Stages
 class Naming:
     """How names of one kind are read, and what makes two of them the same."""
 
-    #: Written form of a word -> the words it stands for (abbreviations, acronyms, nicknames).
+    #: Written form of a word -> the words it stands for.
     stands_for: dict[str, str] = field(default_factory=dict)
     #: Words that tell nothing, such as articles, titles and legal forms.
     noise: frozenset[str] = frozenset()
@@ -30,45 +30,20 @@ class Naming:
     alone: tuple[float, float] = (0.90, 0.60)
     #: Jaccard similarity of padded grams at which the banding reaches its recall.
     similar: float = 0.55
+    #: Words may be abbreviated by leaving letters out, and several words by their first letters.
+    abbreviated: bool = False
 
 
-#: Abbreviations of Spanish names of public bodies (fixed values).
+#: Names of public bodies. ``stands_for`` has the usual other name of a city hall; abbreviations follow from rules.
 ORGANISATIONS = Naming(
-    stands_for={
-        "ALC": "ALCALDIA", "MPAL": "MUNICIPAL", "MPIO": "ALCALDIA MUNICIPAL", "MUNICIPIO": "ALCALDIA MUNICIPAL",
-        "CONTR": "CONTRALORIA", "PERS": "PERSONERIA", "SEC": "SECRETARIA", "SECR": "SECRETARIA", "SRIA": "SECRETARIA",
-        "HDA": "HACIENDA", "EDUC": "EDUCACION", "EDUCATIVA": "EDUCACION", "INST": "INSTITUTO",
-        "INSTITUCION": "INSTITUTO", "IE": "INSTITUTO EDUCACION", "UNIV": "UNIVERSIDAD", "U": "UNIVERSIDAD",
-        "TECN": "TECNOLOGICA", "UT": "UNIVERSIDAD TECNOLOGICA", "ESP": "EMPRESA SERVICIOS PUBLICOS",
-        "EMP": "EMPRESA", "SERV": "SERVICIOS", "PUB": "PUBLICOS", "VIV": "VIVIENDA", "DES": "DESARROLLO",
-        "URB": "URBANO", "INVIDUR": "INSTITUTO VIVIENDA DESARROLLO URBANO",
-        "STT": "SECRETARIA TRANSITO TRANSPORTE", "INDER": "INSTITUTO DEPORTE RECREACION",
-        "IDR": "INSTITUTO DEPORTE RECREACION", "CPO": "CUERPO", "HOSP": "HOSPITAL", "C": "CASA",
-        "DEPTO": "DEPARTAMENTO", "DPTO": "DEPARTAMENTO", "GOB": "GOBERNACION", "TTE": "TRANSPORTE",
-    },
+    stands_for={"MUNICIPIO": "ALCALDIA MUNICIPAL", "MPIO": "ALCALDIA MUNICIPAL"},
     noise=frozenset("DE DEL LA LAS LOS EL EN Y E S A SA H ESE SOCIAL ESTADO OF OFICIAL OFICIALES SEDE PRINCIPAL NIVEL CENTRAL COLOMBIA LTDA SAS".split()),
     alone=(0.85, 0.40),
-    similar=0.3,
+    similar=0.25,
+    abbreviated=True,
 )
-#: Titles and usual short forms of Spanish given names (fixed values).
+#: Names of people and their usual titles; short forms of given names are learnt (``short_forms``).
 PEOPLE = Naming(
-    stands_for={
-        "CHEPE": "JOSE", "PEPE": "JOSE", "NANDO": "FERNANDO", "CHUCHO": "JESUS", "PACO": "FRANCISCO", "PACHO": "FRANCISCO",
-        "PANCHO": "FRANCISCO", "KIKO": "FRANCISCO", "MECHE": "MERCEDES", "MAO": "MAURICIO", "MEMO": "GUILLERMO",
-        "GUILLO": "GUILLERMO", "TERE": "TERESA", "NATA": "NATALIA", "NATI": "NATALIA", "RAFA": "RAFAEL", "CARO": "CAROLINA",
-        "SANTI": "SANTIAGO", "LUCHO": "LUIS", "JUANCHO": "JUAN", "BETO": "ALBERTO", "TOÑO": "ANTONIO", "TONO": "ANTONIO",
-        "NACHO": "IGNACIO", "QUIQUE": "ENRIQUE", "KIKE": "ENRIQUE", "LALO": "EDUARDO", "EDU": "EDUARDO", "GABO": "GABRIEL",
-        "GABI": "GABRIEL", "DANI": "DANIEL", "ALEJO": "ALEJANDRO", "ALEX": "ALEJANDRO", "CATA": "CATALINA",
-        "CLAU": "CLAUDIA", "PATO": "PATRICIA", "PATY": "PATRICIA", "PATI": "PATRICIA", "ISA": "ISABEL", "CHAVA": "ISABEL",
-        "VICKY": "VICTORIA", "VICKI": "VICTORIA", "VALE": "VALENTINA", "CHELO": "CONSUELO", "ADRI": "ADRIANA",
-        "MARCE": "MARCELA", "BEA": "BEATRIZ", "BETTY": "BEATRIZ", "SEBAS": "SEBASTIAN", "RICHI": "RICARDO", "ROBER": "ROBERTO",
-        "BETICO": "ROBERTO", "MANU": "MANUEL", "MANOLO": "MANUEL", "GONZA": "GONZALO", "CHALO": "GONZALO", "JUANITA": "JUANA",
-        "CHILA": "CECILIA", "CECI": "CECILIA", "NENA": "ELENA", "MARI": "MARIA", "MARUJA": "MARIA", "LUCHA": "LUZ",
-        "POCHO": "ALFONSO", "CHARLIE": "CARLOS", "CARLITOS": "CARLOS", "CALICHE": "CARLOS", "HERNANDO": "HERNANDO",
-        "ROSITA": "ROSA", "ANITA": "ANA", "ESPE": "ESPERANZA", "GLORITA": "GLORIA", "JULI": "JULIAN", "OSQUI": "OSCAR",
-        "HUMBER": "HUMBERTO", "RODRI": "RODRIGO", "ANDY": "ANDRES", "MAURO": "MAURICIO", "PILI": "PILAR", "TECHI": "TERESA", "NAN": "HERNAN", "TITO": "ALBERTO", "YOYA": "GLORIA",
-        "PELANCHA": "ESPERANZA",
-    },
     noise=frozenset("DE DEL LA LAS LOS Y SR SRA ING ABG LIC DR DRA DON DONA DOCTOR DOCTORA INGENIERO ABOGADO".split()),
 )
 #: Placeholders in place of a name.
@@ -183,14 +158,53 @@ def word_similarity(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def abbreviates(a: str, b: str) -> bool:
+    """Whether the shorter word is the longer one with letters left out: it keeps the first letter and the order of the rest."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not 3 <= len(a) <= 5 or a[0] != b[0] or len(b) < len(a) + 2:
+        return False
+    rest = iter(b)
+    return all(c in rest for c in a)
+
+
+def abbreviated_similarity(a: str, b: str) -> float:
+    s = word_similarity(a, b)
+    return 0.92 if s < 0.92 and abbreviates(a, b) else s
+
+
+def spelt_by(word: str, parts: list[str], most: int = 3) -> list[int] | None:
+    """Which two or more of ``parts``, in any order, give ``word`` when 1 to ``most`` of their first letters are run together."""
+
+    def run(at: int, used: tuple[int, ...]) -> tuple[int, ...] | None:
+        if at == len(word):
+            return used if len(used) > 1 else None
+        for j, p in enumerate(parts):
+            if j not in used:
+                for n in range(1, most + 1):
+                    if word[at : at + n] != p[:n] or at + n > len(word):
+                        break
+                    if got := run(at + n, (*used, j)):
+                        return got
+        return None
+
+    return list(got) if 2 <= len(word) <= 8 and (got := run(0, ())) else None
+
+
 def monge_elkan(
-    a: list[str], b: list[str], wa: list[float], wb: list[float], light: frozenset[str] = frozenset(), similar: Callable[[str, str], float] = word_similarity
+    a: list[str],
+    b: list[str],
+    wa: list[float],
+    wb: list[float],
+    light: frozenset[str] = frozenset(),
+    similar: Callable[[str, str], float] = word_similarity,
+    acronyms: bool = False,
 ) -> tuple[float, float]:
     """Weighted mean, over the words of one name, of the best similarity in the other: better and worse direction.
 
     Similarities under 0.8 count as none, as do those of words that differ in both their first and last letter. A word
-    that runs two words of the other name together agrees with both. Words in ``light`` (such as those of the place
-    that both names share) weigh little.
+    that runs two words of the other name together agrees with both; with ``acronyms`` one of first letters agrees with
+    all the words that they begin, if it is all that is left of its name or both names have it. Words in ``light`` (such as those of the place that both names share) weigh little.
     """
     best_a = [1.0 if x in b else 0.0 for x in a]
     best_b = [1.0 if y in a else 0.0 for y in b]
@@ -218,6 +232,16 @@ def monge_elkan(
                                 if j != k and abs(len(two[j]) + len(two[k]) - len(x)) <= 1 and (s := similar(x, two[j] + two[k])) >= 0.93:
                                     own[i], far[j], far[k] = max(own[i], s), max(far[j], s), max(far[k], s)
 
+    if acronyms:
+        for one, two, own, far in ((a, b, best_a, best_b), (b, a, best_b, best_a)):
+            lone = sum(s < 0.8 and w not in light for w, s in zip(one, own)) == 1
+            for i, x in enumerate(one):
+                other = [j for j, s in enumerate(far) if s < 0.8 and two[j] not in light]
+                if len(other) > 1 and (own[i] == 1.0 or lone and own[i] < 0.8) and (got := spelt_by(x, [two[j] for j in other])):
+                    own[i] = max(own[i], 0.92)
+                    for k in got:
+                        far[other[k]] = 0.92
+
     def mean(words: list[str], weights: list[float], best: list[float]) -> float:
         total = got = 0.0
         for x, w, s in zip(words, weights, best):
@@ -251,6 +275,44 @@ def read_names(df: DataFrame, name: str, naming: Naming) -> DataFrame:
     return df.select("*", df[name].alias("__name")).mapInArrow(run, f"{schema},nivel string,palabras string")
 
 
+def short_forms(read: DataFrame) -> DataFrame:
+    """``(corta, larga)``: other forms of words, such as nicknames, learnt from names with an equal identifier.
+
+    Each name of an identifier is held to the most frequent one of that identifier; where one word stands in place of
+    another, their identifier is a vote for the rarer word to be a form of the more frequent one. A pair counts when more
+    than half of the votes of its rarer word are for it, with one vote against every pair beforehand, so it takes two
+    identifiers at least. Words that ``word_similarity`` finds alike need no learning.
+    """
+    named = read.where("ident is not null and ident <> ''").groupBy("ident", "palabras").agg(F.count(F.lit(1)).alias("n"))
+    main = named.groupBy("ident").agg(F.max(F.struct("n", "palabras")).alias("m")).select("ident", F.split("m.palabras", " ").alias("m"))
+    own = F.split("palabras", " ")
+    each = named.join(main, "ident").select("ident", F.array_except(own, "m").alias("x"), F.array_except("m", own).alias("y"), (F.size(F.array_intersect(own, "m")) > 0).alias("rest"))
+    each = each.where("rest and size(x) = 1 and size(y) = 1").select("ident", F.col("x")[0].alias("x"), F.col("y")[0].alias("y")).where("length(x) > 2 and length(y) > 2")
+    votes = each.distinct().groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    known = named.select(F.explode(own).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    votes = votes.join(known.select(F.col("w").alias("x"), F.struct("k", F.col("w")).alias("kx")), "x").join(known.select(F.col("w").alias("y"), F.struct("k", F.col("w")).alias("ky")), "y")
+    votes = votes.select(F.least("kx", "ky")["w"].alias("corta"), F.greatest("kx", "ky")["w"].alias("larga"), "n").groupBy("corta", "larga").agg(F.sum("n").alias("n"))
+    learnt = votes.groupBy("corta").agg(F.sum("n").alias("total"), F.max(F.struct("n", "larga")).alias("best"))
+    learnt = learnt.where("best.n > 0.5 * (total + 1)").select("corta", "best.larga")
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([word_similarity(x, y) < 0.8 for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+    return learnt.mapInArrow(apart, "corta string, larga string")
+
+
+def written_out(read: DataFrame, forms: DataFrame, stages: Stages) -> DataFrame:
+    """``read`` with the words of ``palabras`` that ``forms`` has replaced, in order and without repetition."""
+    forms = stages.cut(forms, "forms")
+    words = read.select("palabras").distinct()
+    each = words.select("palabras", F.explode(F.split("palabras", " ")).alias("corta")).join(forms, "corta")
+    changed = each.groupBy("palabras").agg(F.map_from_entries(F.collect_list(F.struct("corta", "larga"))).alias("map"))
+    text = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split("palabras", " "), lambda w: F.coalesce(F.col("map")[w], w)))), " ")
+    changed = changed.select("palabras", text.alias("otras"))
+    return read.join(changed, "palabras", "left").withColumn("palabras", F.coalesce("otras", "palabras")).drop("otras")
+
+
 def with_frequencies(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``veces``: for each of the words, in order, the number of names that have it."""
     each = nodes.select("node", F.posexplode(F.split("palabras", " ")).alias("i", "w"))
@@ -353,7 +415,7 @@ def bucket_pairs(rowed: DataFrame, stages: Stages, tag: str, block: int = BLOCK)
     return each.select(F.least("x", "two.node").alias("a"), F.greatest("x", "two.node").alias("b")).where("a <> b")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, abbreviated: bool = False) -> DataFrame:
     """``(a, b, mx, mn)``: candidate pairs with their Monge-Elkan similarity in the better and worse direction.
 
     A word weighs 1 up to a hundredth of all names, and less the more of them have it.
@@ -361,7 +423,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        similar = lru_cache(maxsize=200_000)(word_similarity)
+        similar = lru_cache(maxsize=200_000)(abbreviated_similarity if abbreviated else word_similarity)
 
         @lru_cache(maxsize=200_000)
         def parsed(name: str) -> tuple[list[str], list[float]]:
@@ -377,7 +439,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             mx, mn = [], []
             for x, y, place in zip(*[batch.column(i).to_pylist() for i in range(2, 5)]):
                 (a, wa), (b, wb) = parsed(x), parsed(y)
-                u, v = monge_elkan(a, b, wa, wb, places(place), similar)
+                u, v = monge_elkan(a, b, wa, wb, places(place), similar, abbreviated)
                 mx.append(u)
                 mn.append(v)
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mx, pa.float64()), pa.array(mn, pa.float64())], names=["a", "b", "mx", "mn"])
@@ -479,7 +541,10 @@ def link_names(
     ident = identifier if identifier is not None else F.lit(None).cast("string")
     rows = records.select(records[key].alias("clave"), records[name].alias("__n"), F.coalesce(place, F.lit("")).alias("lugar") if place is not None else F.lit("").alias("lugar"), ident.alias("ident"))
     read = read_names(rows.where("clave is not null and __n is not null").distinct(), "__n", naming).where("palabras is not null")
-    read = stages.cut(read.select("clave", "lugar", "ident", "nivel", "palabras", F.xxhash64("palabras", "lugar").alias("node")), "read")
+    read = stages.cut(read.select("clave", "lugar", "ident", "nivel", "palabras"), "read")
+    if identifier is not None:
+        read = written_out(read, short_forms(read), stages)
+    read = stages.cut(read.withColumn("node", F.xxhash64("palabras", "lugar")), "written")
     counts = read.groupBy("node", "ident").agg(F.count(F.lit(1)).alias("n"))
     top = counts.where("ident is not null").groupBy("node").agg(F.max(F.struct("n", F.length("ident").alias("l"), "ident")).alias("m")).select("node", F.col("m.ident").alias("main"))
     # Slips of a name's main identifier are read as the main one.
@@ -493,7 +558,7 @@ def link_names(
     nodes = read.groupBy("node").agg(one("palabras").alias("palabras"), one("lugar").alias("lugar"))
     nodes = stages.cut(with_frequencies(stages.cut(nodes, "words")), "nodes")
     idents = profiles.where("ident is not null").select("node", "ident").distinct()
-    found = stages.cut(verified(stages.cut(candidates(nodes, stages, naming.similar, idents), "pairs"), nodes), "verified")
+    found = stages.cut(verified(stages.cut(candidates(nodes, stages, naming.similar, idents), "pairs"), nodes, naming.abbreviated), "verified")
     links = stages.cut(profile_links(found, profiles, main, naming), "links")
     clusters = star_clusters(links, profiles.select("id", "n"), stages)
     grouped = read.join(clusters, "id", "left").select("clave", "nivel", F.coalesce("center", "id").alias("grupo"))
