@@ -237,7 +237,7 @@ def monge_elkan(
             lone = sum(s < 0.8 and w not in light for w, s in zip(one, own)) == 1
             for i, x in enumerate(one):
                 other = [j for j, s in enumerate(far) if s < 0.8 and two[j] not in light]
-                if len(other) > 1 and (own[i] == 1.0 or lone and own[i] < 0.8) and (got := spelt_by(x, [two[j] for j in other])):
+                if len(other) > 1 and x not in light and (own[i] == 1.0 or lone and own[i] < 0.8) and (got := spelt_by(x, [two[j] for j in other])):
                     own[i] = max(own[i], 0.92)
                     for k in got:
                         far[other[k]] = 0.92
@@ -404,15 +404,53 @@ def bucket_pairs(rowed: DataFrame, stages: Stages, tag: str, block: int = BLOCK)
     large = stages.cut(large.select("bucket", F.ceil(F.col("size") / block).cast("int").alias("parts")), f"large-{tag}")
     cut = rowed.join(large, "bucket", "left")
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("node", "bucket"), "parts").cast("int")).otherwise(0)
-    cut = cut.select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-    side = F.struct((F.col("part") > F.col("other")).alias("right"), "node")
-    cells = cut.groupBy("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).agg(F.sort_array(F.collect_list(side)).alias("all"))
-    cells = cells.where(F.size("all") > 1)
-    # Within a block each node meets those after it; between two blocks each of the left ones meets all of the right ones.
-    first = F.when(F.col("lo") == F.col("hi"), F.col("i") + 2).otherwise(F.size(F.filter("all", lambda x: ~x["right"])) + 1)
-    each = cells.select("lo", "hi", "all", F.posexplode("all").alias("i", "one")).where("not one.right")
-    each = each.select(F.col("one.node").alias("x"), F.explode(F.slice("all", first, F.size("all"))).alias("two"))
-    return each.select(F.least("x", "two.node").alias("a"), F.greatest("x", "two.node").alias("b")).where("a <> b")
+    cut = cut.select("bucket", "node", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    cell = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    cells = cut.select(cell.alias("cell"), side.alias("side"), "node").repartition("cell").sortWithinPartitions("cell", "side")
+    return cells.mapInArrow(cell_pairs, "a long, b long")
+
+
+def cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the nodes of each cell, whose rows ``cell, side, node`` follow each other in order of the side.
+
+    Nodes of side 0 meet each other; those of side 1 meet those of side 2.
+    """
+    most = 500_000
+
+    def out(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = x.ravel(), y.ravel()
+        keep = x != y
+        if keep.any():
+            x, y = x[keep], y[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def pairs(cell: np.ndarray, side: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        size = np.diff(np.r_[start, len(cell)])
+        two = side[start] > 0
+        for n in np.unique(size[~two]):
+            if n > 1:
+                i, j = np.triu_indices(n, 1)
+                own = start[(size == n) & ~two]
+                step = max(1, most // len(i))
+                for k in range(0, len(own), step):
+                    yield from out(node[own[k : k + step, None] + i], node[own[k : k + step, None] + j])
+        for s, n in zip(start[two], size[two]):
+            left = s + np.searchsorted(side[s : s + n], 2)
+            x, y = node[s:left], node[left : s + n]
+            yield from out(np.repeat(x, len(y)), np.tile(y, len(x)))
+
+    held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
+    for batch in batches:
+        held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+        if len(held[0]):
+            last = np.searchsorted(held[0], held[0][-1])  # the last cell may go on in the next batch
+            if last:
+                yield from pairs(*[h[:last] for h in held])
+                held = [h[last:] for h in held]
+    if len(held[0]):
+        yield from pairs(*held)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, abbreviated: bool = False) -> DataFrame:
