@@ -114,29 +114,67 @@ def k_core(pairs: DataFrame, k: int, rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"not done after {rounds} rounds")
 
 
-def communities(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """``id, comunidad`` by label propagation: heaviest label among the neighbours, then the smallest.
+def communities(pairs: DataFrame, rounds: int = 1000, least: float = 1e-5) -> DataFrame:
+    """``id, comunidad`` (smallest id) by modularity: vertices move in rounds, then communities become vertices (Louvain).
 
-    A vertex wants to move only where another label is heavier than its own. Of linked vertices that want to, the one
-    with the largest digest of id and round moves, so each move adds to the weight within communities and the
-    labels come to rest. Running out of rounds is an error.
+    In a round about half of the vertices, by a digest of id and round, may move to the neighbouring community of largest
+    gain; a round counts only if it raises the modularity by ``least``, so the method always ends. A level ends
+    after two rounds in a row that don't; then each community becomes one vertex, and the whole ends with a level in
+    which nothing moved. Running out of rounds is an error. An empty graph gives no row.
     """
     stages = Stages(pairs.sparkSession, "communities")
-    sides = stages.cut(both_ways(pairs), "sides")
-    labels = stages.cut(sides.select("id").distinct().select("id", F.col("id").alias("comunidad")), "labels")
-    for turn in range(rounds):
-        seen = sides.join(labels.select(F.col("id").alias("other"), "comunidad"), "other").groupBy("id", "comunidad").agg(F.round(F.sum("w"), 6).alias("w"))
-        seen = seen.join(labels.withColumnRenamed("comunidad", "own"), "id")
-        best = seen.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "comunidad")).alias("b"), F.max(F.when(F.col("comunidad") == F.col("own"), F.col("w")).otherwise(0.0)).alias("held"))
-        want = best.where(-F.col("b.w") > F.col("held")).select("id", F.col("b.comunidad").alias("new"), F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id").alias("k"))
-        want = stages.cut(want, "want")
-        if not want.limit(1).count():
-            return labels
-        rival = want.select(F.col("id").alias("other"), F.col("k").alias("ko"))
-        over = sides.join(want.select("id", "k"), "id").join(rival, "other").where("ko > k").select("id").distinct()
-        moves = want.join(over, "id", "left_anti").select("id", "new")
-        labels = stages.cut(labels.join(moves, "id", "left").select("id", F.coalesce("new", "comunidad").alias("comunidad")), "labels")
-    raise RuntimeError(f"labels still moved after {rounds} rounds")
+    edges = stages.cut(pairs.select("a", "b", "w"), "edges")
+    whole = edges.agg(F.sum("w")).first()[0]
+    members = stages.cut(both_ways(edges).select("id").distinct().withColumn("comunidad", F.col("id")), "members")
+    if not whole:
+        return members
+    turn, quality = 0, None
+    while True:
+        sides = stages.cut(both_ways(edges.where("a <> b")), "sides")
+        force = both_ways(edges).groupBy("id").agg(F.sum("w").alias("k"))
+        labels, held_by = stages.cut(force.withColumn("c", F.col("id")), f"start{turn}"), f"start{turn}"
+        if quality is None:
+            quality = _quality(edges, labels, whole)
+        failed = moved = 0
+        while failed < 2:
+            if turn == rounds:
+                raise RuntimeError(f"communities still moved after {rounds} rounds")
+            turn += 1
+            total = labels.groupBy("c").agg(F.sum("k").alias("t"))
+            seen = sides.join(labels.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("w"))
+            held = labels.select("id", "c").withColumn("w", F.lit(0.0))
+            seen = seen.unionByName(held).groupBy("id", "c").agg(F.sum("w").alias("w"))
+            seen = seen.join(labels.select("id", "k", F.col("c").alias("own")), "id").join(total, "c")
+            stays = F.col("c") == F.col("own")
+            rest = F.col("t") - F.when(stays, F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - F.col("k") * rest / F.lit(2.0 * whole), 9)
+            best = seen.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("away"), "c")).alias("b"))
+            may = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+            new = labels.join(best, "id").select("id", "k", F.when(may, F.col("b.c")).otherwise(F.col("c")).alias("c"))
+            new, tag = stages.cut(new, f"labels{turn}"), f"labels{turn}"
+            q = _quality(edges, new, whole)
+            if q > quality + least:
+                stages.drop(held_by)
+                labels, held_by, quality, failed, moved = new, tag, q, 0, moved + 1
+            else:
+                stages.drop(tag)
+                failed += 1
+        name = labels.select(F.col("id").alias("comunidad"), F.col("c").alias("new"))
+        members = stages.cut(members.join(name, "comunidad").select("id", F.col("new").alias("comunidad")), "members")
+        if not moved:
+            least_id = members.groupBy("comunidad").agg(F.min("id").alias("name"))
+            return members.join(least_id, "comunidad").select("id", F.col("name").alias("comunidad"))
+        ends = lambda e: labels.select(F.col("id").alias(e), F.col("c").alias(f"c{e}"))
+        merged = edges.join(ends("a"), "a").join(ends("b"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+        edges = stages.cut(merged.agg(F.sum("w").alias("w")), "edges")
+
+
+def _quality(edges: DataFrame, labels: DataFrame, whole: float) -> float:
+    """Modularity of ``labels(id, k, c)``; ``edges`` may have loops, which lie within their vertex."""
+    ends = lambda e: labels.select(F.col("id").alias(e), F.col("c").alias(f"c{e}"))
+    inside = edges.join(ends("a"), "a").join(ends("b"), "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0.0
+    spread = labels.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t") / (2.0 * whole), 2))).first()[0]
+    return inside / whole - spread
 
 
 def modularity(pairs: DataFrame, labels: DataFrame, label: str) -> DataFrame:

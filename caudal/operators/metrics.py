@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,30 +82,44 @@ def reliability(pred: DataFrame, bins: int = 10) -> DataFrame:
     return pred.groupBy(b).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("media"), F.avg(F.col("y").cast("double")).alias("positivos"))
 
 
+#: Replicates that share a digest: 16 bits of 128 for each.
+LANES = 8
+#: Distribution of Poisson(1) at 0, 1, ... (fixed values).
+POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675, 0.99998980]
+
+
 def bootstrap(pred: DataFrame, replicates: int, seed: str = "b") -> DataFrame:
-    """AUC of each replicate, with Poisson(1) weights drawn from a digest of replicate and id.
+    """``r, auc``: the AUC of each replicate, with Poisson(1) weights drawn from digests of id and replicate.
 
-    The weights are the same on every run and engine, so orderings can be compared in pairs.
+    The weights are the same on every run and engine, so orderings can be compared in pairs. Eight replicates (a block)
+    are reckoned from one digest as columns of one row. Running sums go by score ranges within a block first, then by
+    score within a range, so no task sees all scores of a replicate. ``replicates`` is a multiple of LANES.
     """
-    r = pred.sparkSession.range(replicates).select(F.col("id").cast("int").alias("r"))
-    u = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(seed), F.col("r").cast("string"), F.col("id"))), F.lit(8)), 16, 10).cast("double") / 4294967296.0
-
-    def poisson(x: Column) -> Column:
-        w = F.lit(0)
-        for k, c in enumerate([0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]):
-            w = F.when(x >= c, k + 1).otherwise(w)
-        return w
-
-    # As an argument of a lambda the digest is computed once, not once a branch.
-    w = F.transform(F.array(u), poisson)[0]
-    # Rows are multiplied by the replicates next, so they are spread over all cores first, however few they are.
+    lanes = range(LANES)
+    blocks = pred.sparkSession.range(replicates // LANES).select(F.col("id").cast("int").alias("b"))
+    # Rows are multiplied by the blocks next, so they are spread over all cores first, however few they are.
     spread = pred.select("id", "y", "p").repartition(pred.sparkSession.sparkContext.defaultParallelism, "id")
-    g = spread.crossJoin(F.broadcast(r)).select("r", "p", w.cast("long").alias("w"), "y").where("w > 0")
-    g = g.groupBy("r", "p").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos"))
-    order = Window.partitionBy("r").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("n").over(order) - F.col("n") + (F.col("n") + 1) / 2.0
-    pos, all_ = F.sum("pos").cast("double"), F.sum("n").cast("double")
-    return g.withColumn("rank", rank).groupBy("r").agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2, pos * (all_ - pos)).alias("auc"))
+    rows = spread.crossJoin(F.broadcast(blocks)).select("p", "y", "b", F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("id"))).alias("h"))
+    draw = [F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int") for k in lanes]
+    steps = [math.ceil(c * 65536) for c in POISSON]
+    # As an argument of a lambda each draw is computed once, not once a step.
+    weights = F.transform(F.array(*draw), lambda u: sum(((u >= c).cast("long") for c in steps), F.lit(0).cast("long")))
+    rows = rows.select("p", "y", "b", weights.alias("w"))
+    sums = [F.sum(F.col("w")[k]).alias(f"n{k}") for k in lanes] + [F.sum(F.col("w")[k] * F.col("y")).alias(f"pos{k}") for k in lanes]
+    g = rows.groupBy("b", "p").agg(*sums).withColumn("range", F.floor(F.col("p") * RANGES).cast("int"))
+    per = g.groupBy("b", "range").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in lanes])
+    below = Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("b", "range", *[F.coalesce(F.sum(f"s{k}").over(below), F.lit(0)).alias(f"s{k}") for k in lanes])
+    within = Window.partitionBy("b", "range").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rank = [F.col(f"s{k}") + F.col(f"c{k}") - F.col(f"n{k}") + (F.col(f"n{k}") + 1) / 2.0 for k in lanes]
+    g = g.withColumns({f"c{k}": F.sum(f"n{k}").over(within) for k in lanes}).join(per, ["b", "range"])
+
+    def auc(k: int) -> Column:
+        pos, all_ = F.sum(f"pos{k}").cast("double"), F.sum(f"n{k}").cast("double")
+        return F.try_divide(F.sum(F.col(f"pos{k}") * rank[k]) - pos * (pos + 1) / 2, pos * (all_ - pos))
+
+    each = g.groupBy("b").agg(F.array(*[auc(k) for k in lanes]).alias("auc")).select("b", F.posexplode("auc").alias("k", "auc"))
+    return each.select((F.col("b") * LANES + F.col("k")).alias("r"), "auc")
 
 
 def overlap(a: Column, b: Column, df: DataFrame) -> DataFrame:

@@ -36,11 +36,12 @@ def salted_aggregate(
 
     Keys in ``heavy`` (a table of proven bound, hence broadcast) are spread over ``salts`` sub-keys; all others
     keep salt 0 and so take part in the second stage with one row. ``merge`` names the columns of ``partial``.
-    ``spread`` chooses the salt and defaults to a draw for each row: with aggregates that merge exactly, the result
-    does not depend on it, even when a lost task is run again. Null keys form a group of their own, as in GROUP BY.
+    ``spread`` chooses the salt and defaults to a digest of the whole row: a lost task that is run again gives each row
+    the salt it had, in whatever order rows arrive. Equal rows share a salt; the partial sums of each task have made one
+    row of them before the shuffle. Null keys form a group of their own, as in GROUP BY.
     """
     marked = df.join(F.broadcast(heavy.select(*keys).withColumn(SALT, F.lit(True))), keys, "left")
-    draw = (spread if spread is not None else F.rand(17) * salts).cast("int") % salts
+    draw = F.pmod(spread if spread is not None else F.xxhash64(*df.columns), F.lit(salts)).cast("int")
     salted = marked.withColumn(SALT, F.when(F.col(SALT), draw).otherwise(F.lit(0)))
     first = salted.groupBy(*keys, SALT).agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])

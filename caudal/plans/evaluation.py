@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,13 +17,13 @@ from caudal.plans.warehouse import _CRI, cri
 from caudal.session import table
 
 _PRED = f"""{_CRI}, g AS (SELECT codigo_proveedor, max(CASE WHEN es_grupo THEN 1 ELSE 0 END) AS y FROM {base.CONTRACTS} WHERE codigo_proveedor IS NOT NULL GROUP BY 1),
-    pred AS MATERIALIZED (SELECT codigo_proveedor AS id, y, round(cri + 1e-7, 4) AS p, n, e FROM s JOIN g USING (codigo_proveedor))"""
+    pred AS MATERIALIZED (SELECT codigo_proveedor AS id, y, round(cri + 1e-12, 9) AS p, n, e FROM s JOIN g USING (codigo_proveedor))"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with a score (the risk index) and a label (whether they are groups)."""
     g = base.contracts(spark, sf_dir).where("codigo_proveedor is not null").groupBy("codigo_proveedor").agg(F.max(F.when(F.col("es_grupo"), 1).otherwise(0)).alias("y"))
-    return cri(spark, sf_dir).join(g, "codigo_proveedor").select(F.col("codigo_proveedor").alias("id"), "y", displayed(F.col("cri")).alias("p"), "n", "e")
+    return cri(spark, sf_dir).join(g, "codigo_proveedor").select(F.col("codigo_proveedor").alias("id"), "y", F.round(F.col("cri") + 1e-12, 9).alias("p"), "n", "e")
 
 
 @query(f"WITH {_PRED} SELECT id, y, p FROM pred")
@@ -76,19 +78,23 @@ def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.reliability(predictions(spark, sf_dir)).select("tramo", "n", displayed(F.col("media")).alias("media"), displayed(F.col("positivos")).alias("positivos"))
 
 
-def _bootstrap_sql(replicates: int) -> str:
-    cuts = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
-    u = "CAST(('0x' || left(md5('b|' || CAST(r AS VARCHAR) || '|' || id), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
-    w = " + ".join(f"CAST({u} >= {c} AS INTEGER)" for c in cuts)
-    return f"""WITH {_PRED}, b AS (SELECT r, p, y, {w} AS w FROM pred, range({replicates}) t(r)), t AS (SELECT r, p, sum(w) AS n, sum(w * y) AS pos FROM b WHERE w > 0 GROUP BY 1, 2),
-    c AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY p) - n + (n + 1) / 2.0::DOUBLE AS k FROM t), a AS (SELECT r, (sum(pos * k) - sum(pos) * (sum(pos) + 1) / 2.0::DOUBLE) / (sum(pos) * (sum(n) - sum(pos))) AS auc FROM c GROUP BY r)
-    SELECT count(*) AS replicas, round(avg(auc) + 1e-7, 4) AS media, round(quantile_cont(auc, .025) + 1e-7, 4) AS bajo, round(quantile_cont(auc, .975) + 1e-7, 4) AS alto FROM a"""
+REPLICATES = 2000
+
+
+def replicates_sql(scores: dict[str, str]) -> str:
+    """CTE ``a`` (m, r, auc): the AUC of each replicate for each of the named scores, which share their weights."""
+    u = "CAST('0x' || substr(h, CAST(4 * k + 1 AS INTEGER), 4) AS INTEGER)"
+    w = " + ".join(f"CAST({u} >= {math.ceil(c * 65536)} AS INTEGER)" for c in metrics.POISSON)
+    each = " UNION ALL ".join(f"SELECT '{m}' AS m, r, {s} AS s, sum(w) AS n, sum(w * y) AS pos FROM b WHERE w > 0 GROUP BY r, {s}" for m, s in scores.items())
+    return f"""{_PRED}, h AS MATERIALIZED (SELECT p, y, n, g, md5('b|' || CAST(g AS VARCHAR) || '|' || id) AS h FROM pred, range({REPLICATES // metrics.LANES}) t(g)),
+    b AS MATERIALIZED (SELECT g * {metrics.LANES} + k AS r, p, y, n, {w} AS w FROM h, range({metrics.LANES}) l(k)), t AS ({each}),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY m, r ORDER BY s) - n + (n + 1) / 2.0::DOUBLE AS k FROM t), a AS (SELECT m, r, (sum(pos * k) - sum(pos) * (sum(pos) + 1) / 2.0::DOUBLE) / (sum(pos) * (sum(n) - sum(pos))) AS auc FROM c GROUP BY 1, 2)"""
 
 
-@query(_bootstrap_sql(100))
+@query(f"WITH {replicates_sql({'p': 'p'})} SELECT count(*) AS replicas, round(avg(auc) + 1e-7, 4) AS media, round(quantile_cont(auc, .025) + 1e-7, 4) AS bajo, round(quantile_cont(auc, .975) + 1e-7, 4) AS alto FROM a")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and 95 % interval of the AUC over 100 replicates."""
-    a = metrics.bootstrap(predictions(spark, sf_dir), 100)
+    """Mean and 95 % interval of the AUC over 2,000 replicates."""
+    a = metrics.bootstrap(predictions(spark, sf_dir), REPLICATES)
     q = lambda x: displayed(F.percentile("auc", F.lit(x)))
     return a.agg(F.count(F.lit(1)).alias("replicas"), displayed(F.avg("auc")).alias("media"), q(0.025).alias("bajo"), q(0.975).alias("alto"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caudal.functions import casts, text
 from caudal.operators import graph, metrics
 from caudal.plans import base
-from caudal.plans.evaluation import _PRED, predictions
+from caudal.plans.evaluation import _PRED, REPLICATES, predictions, replicates_sql
 from caudal.plans.identity import _INPUT, linkage_input
 from caudal.plans.network import _TRI, AWARD_PAIRS, award_pairs, triangles
 from caudal.plans.registry import query
@@ -71,20 +71,16 @@ def score_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy((decile + 1).cast("int").alias("decil")).agg(F.count(F.lit(1)).alias("actores"), F.sum("y").cast("long").alias("positivos"), casts.displayed(F.avg("p")).alias("media"))
 
 
-_DIFF = "CAST(('0x' || left(md5('b|' || CAST(r AS VARCHAR) || '|' || id), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
-
-
 @query(
-    f"""WITH {_PRED}, w AS (SELECT r, p, CAST(n AS DOUBLE) / (n + 50) AS q, y, {' + '.join(f'CAST({_DIFF} >= {c} AS INTEGER)' for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))} AS w FROM pred, range(60) t(r)),
-    l AS (SELECT 'p' AS m, r, p AS s, sum(w) AS n, sum(w * y) AS pos FROM w WHERE w > 0 GROUP BY r, p UNION ALL SELECT 'q', r, q, sum(w), sum(w * y) FROM w WHERE w > 0 GROUP BY r, q),
-    c AS (SELECT *, sum(n) OVER (PARTITION BY m, r ORDER BY s) - n + (n + 1) / 2.0::DOUBLE AS k FROM l), a AS (SELECT m, r, (sum(pos * k) - sum(pos) * (sum(pos) + 1) / 2.0::DOUBLE) / (sum(pos) * (sum(n) - sum(pos))) AS auc FROM c GROUP BY 1, 2)
+    f"""WITH {replicates_sql({'p': 'p', 'q': 'CAST(n AS DOUBLE) / (n + 50)'})}
     SELECT round(avg(x.auc - z.auc) + 1e-7, 4) AS diferencia, round(quantile_cont(x.auc - z.auc, .025) + 1e-7, 4) AS bajo, round(quantile_cont(x.auc - z.auc, .975) + 1e-7, 4) AS alto FROM a x JOIN a z ON x.r = z.r AND x.m = 'p' AND z.m = 'q'"""
 )
 def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of AUC of two orderings over replicates that share their weights, with its 95 % interval."""
     d = predictions(spark, sf_dir)
     q = F.col("n").cast("double") / (F.col("n") + 50)
-    a = metrics.bootstrap(d, 60).withColumnRenamed("auc", "x").join(metrics.bootstrap(d.select("id", "y", q.alias("p")), 60).withColumnRenamed("auc", "z"), "r")
+    one, two = metrics.bootstrap(d, REPLICATES), metrics.bootstrap(d.select("id", "y", q.alias("p")), REPLICATES)
+    a = one.withColumnRenamed("auc", "x").join(two.withColumnRenamed("auc", "z"), "r")
     diff = F.col("x") - F.col("z")
     at = lambda v: casts.displayed(F.percentile(diff, F.lit(v)))
     return a.agg(casts.displayed(F.avg(diff)).alias("diferencia"), at(0.025).alias("bajo"), at(0.975).alias("alto"))

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from datetime import datetime
 
@@ -129,11 +130,47 @@ def test_communities_come_to_rest(spark):
     pairs = [("a", "b"), *[("hub", f"leaf{i}") for i in range(5)]]
     und = graph.undirected(spark.createDataFrame(pairs, "x string, y string"), "x", "y")
     by = {r["id"]: r["comunidad"] for r in graph.communities(und).collect()}
-    assert by["a"] == by["b"] and len({c for i, c in by.items() if i not in "ab"}) == 1
+    assert by["a"] == by["b"] == "a" and len({c for i, c in by.items() if i not in "ab"}) == 1
     with pytest.raises(RuntimeError):
         graph.communities(und, rounds=1)
 
 
+def test_communities_of_planted_groups(spark):
+    """Twelve dense groups with few links between them come out whole, each named by its smallest id."""
+    rnd = random.Random(2)
+    pairs = [(a, b) for g in range(12) for a, b in itertools.combinations([f"{g:02}-{i}" for i in range(10)], 2) if rnd.random() < 0.6]
+    pairs += [(f"{rnd.randrange(12):02}-{rnd.randrange(10)}", f"{rnd.randrange(12):02}-{rnd.randrange(10)}") for _ in range(40)]
+    und = graph.undirected(spark.createDataFrame(pairs, "x string, y string"), "x", "y")
+    labels = graph.communities(und)
+    assert {(r["id"][:2], r["comunidad"]) for r in labels.collect()} == {(f"{g:02}", f"{g:02}-0") for g in range(12)}
+    assert graph.communities(und.limit(0)).count() == 0
+
+
+def test_equal_rows_keep_their_salt(spark):
+    df = spark.createDataFrame([("k", i % 3, 1.0) for i in range(600)] + [(None, 1, None)], "key string, v int, x double")
+    heavy = skew.heavy_candidates(df.withColumn("s", F.lit("s")), "s", "key", 0.1).select("key")
+    out = skew.salted_aggregate(df, ["key"], {"n": F.count(F.lit(1)), "x": F.sum("x")}, {"n": F.sum("n"), "x": F.sum("x")}, heavy)
+    assert rows(out) == [(None, 1, None), ("k", 600, 600.0)] or rows(out) == [("k", 600, 600.0), (None, 1, None)]
+
+
+def test_replicates_against_sorted_ranks(spark):
+    """Each replicate's AUC is that of its weighted rows, ties sharing their average rank."""
+    import hashlib
+
+    rnd = random.Random(5)
+    data = [(f"i{i}", rnd.randrange(2), rnd.choice([0.0, 0.1, 0.25, 0.2501, 0.9, 1.0])) for i in range(80)]
+    got = {r["r"]: r["auc"] for r in metrics.bootstrap(spark.createDataFrame(data, "id string, y int, p double"), 16).collect()}
+    assert sorted(got) == list(range(16))
+    for r in (0, 7, 8, 15):
+        pos, neg = [], []
+        for i, y, p in data:
+            h = hashlib.md5(f"b|{r // 8}|{i}".encode()).hexdigest()
+            u = int(h[4 * (r % 8) : 4 * (r % 8) + 4], 16)
+            (pos if y else neg).extend([p] * sum(u >= math.ceil(c * 65536) for c in metrics.POISSON))
+        want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+        assert abs(got[r] - want) < 1e-9
+
+
 def test_k_core(spark):
     und = graph.undirected(spark.createDataFrame([*itertools.combinations("abcd", 2), ("d", "e"), ("e", "f")], "x string, y string"), "x", "y")
     assert rows(graph.k_core(und, 3).select("a", "b")) == sorted(itertools.combinations("abcd", 2))
