@@ -14,7 +14,7 @@ import time
 from caudal.session import local_session
 from caudal.sources import sinks
 
-PLANS = ["data_problems", "evaluation", "files", "identity", "models", "network", "reports", "warehouse"]
+PLANS = ["data_problems", "evaluation", "facts", "files", "identity", "models", "network", "reports", "warehouse"]
 
 
 def load(optional: list[str] = ()) -> dict:

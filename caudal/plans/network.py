@@ -90,6 +90,40 @@ def modularity_given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("comunidades", casts.displayed(F.col("modularidad")).alias("modularidad"))
 
 
+def components_sql(pairs: str, name: str, rounds: int = 24) -> str:
+    """CTEs that end in ``name`` (id, c): the smallest id of each component, for graphs of up to ``rounds`` links across."""
+    parts = [f"{name}_s AS MATERIALIZED (SELECT a AS id, b AS other FROM {pairs} UNION ALL SELECT b, a FROM {pairs})", f"{name}_0 AS (SELECT DISTINCT id, id AS c FROM {name}_s)"]
+    for i in range(rounds):
+        last = name if i == rounds - 1 else f"{name}_{i + 1}"
+        parts.append(f"{last} AS MATERIALIZED (SELECT s.id, least(min(o.c), min(l.c)) AS c FROM {name}_s s JOIN {name}_{i} o ON o.id = s.other JOIN {name}_{i} l ON l.id = s.id GROUP BY s.id)")
+    return ", ".join(parts)
+
+
+def labelled_components(pairs: DataFrame) -> DataFrame:
+    """``id, componente_id, tamano, gigante``: the component of each vertex, its size and whether it is the largest (ties: smallest id)."""
+    c = graph.components(pairs)
+    size = c.groupBy("componente").agg(F.count(F.lit(1)).alias("tamano"))
+    top = size.agg(F.min(F.struct((-F.col("tamano")).alias("n"), "componente")).alias("t")).select(F.col("t.componente").alias("mayor"))
+    named = size.crossJoin(F.broadcast(top)).select("componente", "tamano", (F.col("componente") == F.col("mayor")).alias("gigante"))
+    return c.join(named, "componente").select("id", F.col("componente").alias("componente_id"), "tamano", "gigante")
+
+
+@query(
+    f"""WITH {components_sql(AWARD_PAIRS, 'comp')}, t AS (SELECT c, count(*) AS n FROM comp GROUP BY c) SELECT count(*) AS componentes, max(n) AS gigante, round(max(n) / CAST(sum(n) AS DOUBLE) + 1e-7, 4) AS parte_gigante, count(*) FILTER (WHERE n = 2) AS parejas FROM t"""
+)
+def topology_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the award network and the largest of them."""
+    size = graph.components(award_pairs(spark, sf_dir)).groupBy("componente").agg(F.count(F.lit(1)).alias("n"))
+    return size.agg(F.count(F.lit(1)).alias("componentes"), F.max("n").alias("gigante"), casts.displayed(F.max("n").cast("double") / F.sum("n")).alias("parte_gigante"), F.count_if(F.col("n") == 2).alias("parejas"))
+
+
+@query()
+def topology_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of communities of the award network and their modularity."""
+    p = award_pairs(spark, sf_dir)
+    return graph.modularity(p, graph.communities(p), "comunidad")
+
+
 @query(
     f"""WITH p AS {AWARD_PAIRS}, d AS (SELECT id, count(*) AS g FROM {_SIDES('p')} GROUP BY 1)
     SELECT (SELECT count(*) FROM d) AS nodos, (SELECT count(*) FROM p) AS aristas, (SELECT count(*) FROM d WHERE id LIKE 'ENT:%') AS compradores,
@@ -171,38 +205,46 @@ def tripartite_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EGO = f"""p AS MATERIALIZED {ALL_PAIRS}, s AS MATERIALIZED {_SIDES('p')}, c AS (SELECT id FROM s WHERE id LIKE 'DOC:%' GROUP BY id ORDER BY count(*) DESC, id LIMIT 1),
-    h1 AS (SELECT other AS id FROM s JOIN c USING (id)), n AS MATERIALIZED (SELECT id FROM c UNION SELECT id FROM h1),
-    e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)), d AS MATERIALIZED (SELECT id, count(*) AS g FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
+    h1 AS MATERIALIZED (SELECT other AS id FROM s JOIN c USING (id)), n AS MATERIALIZED (SELECT id FROM c UNION SELECT id FROM h1 UNION SELECT other FROM s JOIN h1 USING (id)),
+    e AS MATERIALIZED (SELECT a, b, w FROM p WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)), d AS MATERIALIZED (SELECT id, count(*) AS g FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
     t AS MATERIALIZED (SELECT x.a AS u, x.b AS v, y.b AS w FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b), tt AS (SELECT id, count(*) AS t FROM (SELECT u AS id FROM t UNION ALL SELECT v FROM t UNION ALL SELECT w FROM t) GROUP BY 1),
     q AS (SELECT dx.g AS gx, dy.g AS gy FROM e JOIN d dx ON dx.id = a JOIN d dy ON dy.id = b)"""
 
 
 @query(
-    f"""WITH {_EGO} SELECT (SELECT id FROM c) AS centro, (SELECT count(*) FROM n) AS nodos, (SELECT count(*) FROM e) AS aristas, count(*) FILTER (WHERE g = 1) AS hojas, max(g) AS grado_max, (SELECT count(*) FROM t) AS triangulos,
+    f"""WITH {_EGO} SELECT (SELECT id FROM c) AS centro, (SELECT count(*) FROM n) AS nodos, (SELECT count(*) FROM e) AS aristas, (SELECT count(*) FROM n WHERE id LIKE 'ENT:%') AS compradores, (SELECT count(*) FROM n WHERE id LIKE 'RL:%') AS representantes, (SELECT sum(w) FROM e) AS peso, (SELECT max(w) FROM e) AS peso_max,
+    (SELECT count(DISTINCT id) FROM h1) AS vecinos, round(2.0::DOUBLE * (SELECT count(*) FROM e) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)) + 1e-7, 6) AS densidad, round(avg(g) + 1e-7, 4) AS grado_medio, round(count(*) FILTER (WHERE g = 1) / CAST(count(*) AS DOUBLE) + 1e-7, 4) AS hojas_parte, count(*) FILTER (WHERE g = 1) AS hojas, max(g) AS grado_max, (SELECT count(*) FROM t) AS triangulos,
     round(coalesce(3.0::DOUBLE * (SELECT count(*) FROM t) / nullif(sum(g * (g - 1) / 2.0::DOUBLE), 0), 0) + 1e-7, 4) AS transitividad,
     round(avg(CASE WHEN g < 2 THEN 0 ELSE coalesce(t, 0) / (g * (g - 1) / 2.0::DOUBLE) END) + 1e-7, 4) AS agrupamiento,
     (SELECT round(corr(x, y) + 1e-7, 4) FROM (SELECT CAST(gx AS DOUBLE) AS x, CAST(gy AS DOUBLE) AS y FROM q UNION ALL SELECT gy, gx FROM q)) AS asortatividad FROM d LEFT JOIN tt USING (id)"""
 )
 def ego_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbourhood of the actor with most neighbours: size, leaves, triangles, clustering, assortativity."""
+    """Surroundings, two links wide, of the actor with most neighbours: size, leaves, triangles, clustering, assortativity."""
     p = graph.undirected(table(spark, sf_dir, "vinculo_2025"), "origen", "destino", "peso")
     s = graph.both_ways(p)
     center = s.where(F.col("id").startswith("DOC:")).groupBy("id").agg(F.count(F.lit(1)).alias("g")).orderBy(F.desc("g"), "id").limit(1).select(F.col("id").alias("centro"))
     near = s.join(F.broadcast(center), s["id"] == center["centro"]).select(F.col("other").alias("id"))
-    n = near.unionByName(center.select(F.col("centro").alias("id"))).distinct()
+    second = s.join(near.distinct(), "id").select(F.col("other").alias("id"))
+    n = near.unionByName(second).unionByName(center.select(F.col("centro").alias("id"))).distinct()
     e = p.join(n, p["a"] == n["id"], "left_semi").join(n, F.col("b") == n["id"], "left_semi")
     d = graph.degrees(e).select("id", F.col("grado").alias("g"))
     t = graph.triangles(e)
     tt = t.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
     w = F.col("g") * (F.col("g") - 1) / 2.0
     each = d.join(tt, "id", "left").agg(
-        F.count_if(F.col("g") == 1).alias("hojas"), F.max("g").alias("grado_max"), (F.coalesce(F.sum("t"), F.lit(0)) / 3).cast("long").alias("triangulos"),
+        F.count_if(F.col("g") == 1).alias("hojas"), F.max("g").alias("grado_max"), F.avg("g").alias("media"), F.count(F.lit(1)).alias("vertices"), (F.coalesce(F.sum("t"), F.lit(0)) / 3).cast("long").alias("triangulos"),
         casts.displayed(F.coalesce(F.try_divide(F.sum(F.coalesce("t", F.lit(0))).cast("double"), F.sum(w)), F.lit(0.0))).alias("transitividad"),
         casts.displayed(F.avg(F.when(F.col("g") < 2, 0.0).otherwise(F.coalesce("t", F.lit(0)) / w))).alias("agrupamiento"),
     )
     ends = e.join(d.select(F.col("id").alias("a"), F.col("g").alias("gx")), "a").join(d.select(F.col("id").alias("b"), F.col("g").alias("gy")), "b")
     ends = ends.select(F.explode(F.array(F.struct(F.col("gx").alias("x"), F.col("gy").alias("y")), F.struct(F.col("gy").alias("x"), F.col("gx").alias("y")))).alias("q"))
     r = ends.agg(casts.displayed(F.corr(F.col("q.x").cast("double"), F.col("q.y").cast("double"))).alias("asortatividad"))
+    each = each.withColumns({"grado_medio": casts.displayed(F.col("media")), "hojas_parte": casts.displayed(F.col("hojas") / F.col("vertices"))}).drop("media", "vertices")
+    kinds = n.agg(F.count_if(F.col("id").startswith("ENT:")).alias("compradores"), F.count_if(F.col("id").startswith("RL:")).alias("representantes"))
+    weight = e.agg(F.sum("w").alias("peso"), F.max("w").alias("peso_max"))
+    size = n.agg(F.count(F.lit(1)).alias("k")).crossJoin(e.agg(F.count(F.lit(1)).alias("m"))).select(casts.displayed(2.0 * F.col("m") / (F.col("k") * (F.col("k") - 1)), 6).alias("densidad"))
+    first = near.agg(F.count_distinct("id").alias("vecinos"))
+    center = center.crossJoin(kinds).crossJoin(weight).crossJoin(size).crossJoin(first)
     return center.crossJoin(n.agg(F.count(F.lit(1)).alias("nodos"))).crossJoin(e.agg(F.count(F.lit(1)).alias("aristas"))).crossJoin(each).crossJoin(r)
 
 
@@ -227,13 +269,13 @@ def lorenz_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TRI}, t AS (SELECT DISTINCT x AS id FROM (SELECT ut AS x FROM tri UNION ALL SELECT socio FROM tri)), c AS (SELECT DISTINCT x AS id FROM (SELECT origen AS x FROM vinculo_2025 WHERE tipo = 'comparte_contacto' UNION ALL SELECT destino FROM vinculo_2025 WHERE tipo = 'comparte_contacto') WHERE x IS NOT NULL),
+    f"""WITH {components_sql(AWARD_PAIRS, 'comp')}, gig AS (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), cer AS (SELECT id FROM comp WHERE c <> (SELECT c FROM gig)), {_TRI}, t AS (SELECT DISTINCT x AS id FROM (SELECT ut AS x FROM tri UNION ALL SELECT socio FROM tri)), c AS (SELECT DISTINCT x AS id FROM (SELECT origen AS x FROM vinculo_2025 WHERE tipo = 'comparte_contacto' UNION ALL SELECT destino FROM vinculo_2025 WHERE tipo = 'comparte_contacto') WHERE x IS NOT NULL),
     v AS (SELECT DISTINCT origen, destino FROM vinculo_2025 WHERE tipo = 'representado_por' AND origen IS NOT NULL AND destino IS NOT NULL), r AS (SELECT DISTINCT origen AS id FROM v WHERE destino IN (SELECT destino FROM v GROUP BY destino HAVING count(*) > 1))
-    SELECT id_nodo, CAST(id_nodo IN (SELECT id FROM t) AS INTEGER) AS t, CAST(id_nodo IN (SELECT id FROM c) AS INTEGER) AS c, CAST(id_nodo IN (SELECT id FROM r) AS INTEGER) AS r,
-    (CAST(id_nodo IN (SELECT id FROM t) AS INTEGER) + CAST(id_nodo IN (SELECT id FROM c) AS INTEGER) + CAST(id_nodo IN (SELECT id FROM r) AS INTEGER)) / 3.0::DOUBLE AS senal FROM {base.ACTORS}"""
+    SELECT id_nodo, CAST(id_nodo IN (SELECT id FROM t) AS INTEGER) AS t, CAST(id_nodo IN (SELECT id FROM c) AS INTEGER) AS c, CAST(id_nodo IN (SELECT id FROM r) AS INTEGER) AS r, CAST(id_nodo IN (SELECT id FROM cer) AS INTEGER) AS a,
+    (CAST(id_nodo IN (SELECT id FROM cer) AS INTEGER) + CAST(id_nodo IN (SELECT id FROM t) AS INTEGER) + CAST(id_nodo IN (SELECT id FROM c) AS INTEGER) + CAST(id_nodo IN (SELECT id FROM r) AS INTEGER)) / 4.0::DOUBLE AS senal FROM {base.ACTORS}"""
 )
 def red_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangle, shared contact and shared representative of each actor, with their mean."""
+    """Triangle, shared contact, shared representative and closed component (not the giant one) of each actor, with their mean."""
     v = table(spark, sf_dir, "vinculo_2025")
     ends = lambda df, a, b: df.select(F.explode(F.array(a, b)).alias("id")).where("id is not null").distinct()
     t = ends(triangles(spark, sf_dir), "ut", "socio").withColumn("t", F.lit(1))
@@ -242,8 +284,9 @@ def red_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = by.groupBy("destino").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("destino")
     r = by.join(many, "destino", "left_semi").select(F.col("origen").alias("id")).distinct().withColumn("r", F.lit(1))
     a = base.actors(spark, sf_dir).select(F.col("id_nodo"), F.col("id_nodo").alias("id"))
-    out = a.join(t, "id", "left").join(c, "id", "left").join(r, "id", "left").na.fill(0, ["t", "c", "r"])
-    return out.select("id_nodo", "t", "c", "r", ((F.col("t") + F.col("c") + F.col("r")) / 3.0).alias("senal"))
+    closed = labelled_components(award_pairs(spark, sf_dir)).where("not gigante").select("id", F.lit(1).alias("a"))
+    out = a.join(t, "id", "left").join(c, "id", "left").join(r, "id", "left").join(closed, "id", "left").na.fill(0, ["t", "c", "r", "a"])
+    return out.select("id_nodo", "t", "c", "r", "a", ((F.col("t") + F.col("c") + F.col("r") + F.col("a")) / 4.0).alias("senal"))
 
 
 _CORE = f"SELECT destino AS id FROM vinculo_2025 WHERE tipo = 'integra' AND destino IS NOT NULL UNION SELECT origen FROM vinculo_2025 WHERE tipo = 'integra' AND origen IS NOT NULL UNION SELECT 'COD:' || codigo_proveedor FROM {base.BIDS} WHERE codigo_proveedor IS NOT NULL"

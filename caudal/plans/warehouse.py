@@ -130,10 +130,12 @@ def calendar_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DEPARTMENTS = ["entidades", "proveedores", "nodos"]
+#: Departments whose name is shown in one form, first match (fixed values).
+DISPLAYED = [("BOGOT", "Bogotá D.C."), ("SAN ANDRES", "San Andrés y Providencia"), ("VALLE", "Valle del Cauca"), ("NORTE DE SANT", "Norte de Santander")]
 
 
 @query(
-    "SELECT departamento_norm, array_to_string(list_transform(string_split(lower(departamento_norm), ' '), lambda x: upper(x[1]) || substr(x, 2)), ' ') AS departamento, count(*) AS n_tablas FROM (SELECT DISTINCT t, n AS departamento_norm FROM ("
+    "SELECT departamento_norm, CASE " + " ".join(f"WHEN departamento_norm LIKE '%{p}%' THEN '{n}'" for p, n in DISPLAYED) + " ELSE array_to_string(list_transform(string_split(lower(departamento_norm), ' '), lambda x: upper(x[1]) || substr(x, 2)), ' ') END AS departamento, departamento_norm LIKE '%BOGOTA%' AS es_capital, count(*) AS n_tablas FROM (SELECT DISTINCT t, n AS departamento_norm FROM ("
     + " UNION ALL ".join(f"SELECT '{t}' AS t, {_NORM_('departamento')} AS n FROM {t}" for t in _DEPARTMENTS)
     + ") WHERE n IS NOT NULL) GROUP BY ALL"
 )
@@ -141,7 +143,8 @@ def department_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = [table(spark, sf_dir, t).select(F.lit(t).alias("t"), text.normalised("departamento").alias("departamento_norm")) for t in _DEPARTMENTS]
     named = reduce(DataFrame.unionByName, each).where("departamento_norm is not null").distinct()
     out = named.groupBy("departamento_norm").agg(F.count(F.lit(1)).alias("n_tablas"))
-    return out.withColumn("departamento", text.title_case("departamento_norm"))
+    shown = text.first_rule(F.col("departamento_norm"), DISPLAYED, None)
+    return out.withColumns({"departamento": F.coalesce(shown, text.title_case("departamento_norm")), "es_capital": F.col("departamento_norm").contains("BOGOTA")})
 
 
 @query(
@@ -184,11 +187,11 @@ def modality(c: str | Column) -> Column:
 
 
 @query(
-    f"""SELECT modalidad, grupo, grupo IN ('Licitacion', 'Abreviada') AS competitiva, count(*) AS n FROM (SELECT {_NORM_('modalidad_de_contratacion')} AS modalidad, {_MODALITY('modalidad_de_contratacion')} AS grupo FROM procesos) WHERE modalidad IS NOT NULL GROUP BY ALL"""
+    f"""SELECT modalidad, grupo, grupo IN ('Licitacion', 'Abreviada') AS competitiva, grupo = 'Directa' AS directa, grupo = 'Minima cuantia' AS minima, count(*) AS n FROM (SELECT {_NORM_('modalidad_de_contratacion')} AS modalidad, {_MODALITY('modalidad_de_contratacion')} AS grupo FROM procesos) WHERE modalidad IS NOT NULL GROUP BY ALL"""
 )
 def modality_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "procesos").select(text.normalised("modalidad_de_contratacion").alias("modalidad"), modality("modalidad_de_contratacion").alias("grupo")).where("modalidad is not null")
-    return m.groupBy("modalidad", "grupo").agg(F.count(F.lit(1)).alias("n")).withColumn("competitiva", F.col("grupo").isin("Licitacion", "Abreviada"))
+    return m.groupBy("modalidad", "grupo").agg(F.count(F.lit(1)).alias("n")).withColumns({"competitiva": F.col("grupo").isin("Licitacion", "Abreviada"), "directa": F.col("grupo") == "Directa", "minima": F.col("grupo") == "Minima cuantia"})
 
 
 @query(
