@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,11 @@ FLUSH_WORDS = 200_000
 WHOLE_WORDS, WHOLE_ODDS = 4, 4.0
 
 _MARKUP = re.compile(r"<br\s*/?>|</?(?:p|div|li|td|tr|h\d)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-z][^<>]{0,200}>|&[a-z]{2,8};|&#\d+;|https?://\S+|www\.\S+|(?<!\S)[^\s\d@]*+[\d@]\S*?(?=[.!?;:,)\]\"'»”]*(?:\s|$))", re.I)
+_TAG = re.compile(r"</?[a-z][^<>]*>|&[a-z]{2,8};|&#\d+;|https?://\S+|www\.\S+|(?<!\S)[^\s\d@]*+[\d@]\S*?(?=[.!?;:,)\]\"'»”]*(?:\s|$))", re.I)
 _LINE = re.compile(r"[\r\n]+|(?<=[.!?;:)\]\"'»”])\s+(?:/\s+)?(?=\S)|\s/\s|(?<=[.!?])(?=[(\[])")
 _WORD = re.compile(r"[^\W\d_]+")
 _ADDRESS = re.compile(r"https?://[^/\s:]*\.([a-z]{2,})(?![\w.])", re.I)
+_DECLARED = re.compile(r"<[a-z][^<>]*?\blang\s*=\s*[\"']?\s*([a-z]+)", re.I)
 
 
 def level(text: str) -> str:
@@ -86,29 +88,59 @@ def words_of(passage: str) -> tuple[list[str], int]:
     return level(" ".join(raw)).split(), letters
 
 
-def count_words(df: DataFrame, text: str, lang: Column) -> DataFrame:
+_TOKENS = "array<struct<desde:int,hasta:int,palabras:int,letras:int,texto:string>>"
+
+
+def tokens(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, the address suffix, the language that markup declares, and each passage with its words.
+
+    The one pass over the texts; all later steps read what it leaves. Texts of any length are read whole.
+    """
+    schema = df.select(*keep).schema.simpleString()[len("struct<") : -1]
+    kind = pa.list_(pa.struct([("desde", pa.int32()), ("hasta", pa.int32()), ("palabras", pa.int32()), ("letras", pa.int32()), ("texto", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, suffixes, marked = [], [], []
+            for t in batch.column(len(keep)).to_pylist():
+                t = t or ""
+                address, declared = _ADDRESS.search(t), _DECLARED.search(t)
+                suffixes.append(address.group(1).lower() if address else None)
+                marked.append(declared.group(1).lower() if declared else None)
+                t, out = clean(t), []
+                for a, b in passages(t):
+                    words, letters = words_of(t[a:b])
+                    if letters:
+                        out.append({"desde": a, "hasta": b, "palabras": len(words), "letras": letters, "texto": " ".join(words)})
+                found.append(out)
+            columns = [batch.column(i) for i in range(len(keep))] + [pa.array(suffixes, pa.string()), pa.array(marked, pa.string()), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "sufijo", "marcado", "frases"])
+
+    rows = df.select(*keep, df[text].alias("__text"))
+    return rows.mapInArrow(run, f"{schema},sufijo string,marcado string,frases {_TOKENS}")
+
+
+def count_words(read: DataFrame, lang: str) -> DataFrame:
     """Number of each word in the texts of each language, counted within tasks first: ``lang, word, n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            keys = list(counts)
+            keys = [(l, w) for l, c in counts.items() for w in c]
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n for c in counts.values() for n in c.values()], pa.int64())],
                 names=["lang", "word", "n"],
             )
 
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = {}
         for batch in batches:
-            for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = clean(t)
-                for a, b in passages(t):
-                    counts.update((l, w) for w in words_of(t[a:b])[0])
-                if len(counts) > FLUSH_WORDS:
+            for l, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts.setdefault(l, Counter()).update(w for t in said for w in t.split())
+                if sum(map(len, counts.values())) > FLUSH_WORDS:
                     yield out()
                     counts.clear()
         yield out()
 
-    rows = df.select(df[text].alias("t"), lang.alias("l")).where("t is not null and l is not null")
+    rows = read.where(F.col(lang).isNotNull()).select(lang, F.col("frases.texto"))
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -145,7 +177,7 @@ def score(words: list[str], known: dict[str, np.ndarray], triples: dict[str, np.
     out = np.zeros(len(LANGS), np.float64)
     for w in words:
         v = known.get(w)
-        if v is None and len(w) <= 40:
+        if v is None:
             g = [triples[x] for x in letter_triples(w) if x in triples]
             if not g:
                 continue
@@ -156,9 +188,9 @@ def score(words: list[str], known: dict[str, np.ndarray], triples: dict[str, np.
     return out
 
 
-def fit(df: DataFrame, text: str, lang: Column) -> TextModel:
+def fit(read: DataFrame, lang: str) -> TextModel:
     """Model of the words in texts whose label names a language; all labelled rows are counted."""
-    by_word = count_words(df, text, lang).groupBy("word").agg(
+    by_word = count_words(read, lang).groupBy("word").agg(
         *[F.coalesce(F.sum(F.when(F.col("lang") == l, F.col("n"))), F.lit(0)).alias(l) for l in LANGS]
     )
     total = sum((F.col(l) for l in LANGS), F.lit(0))
@@ -169,51 +201,78 @@ def fit(df: DataFrame, text: str, lang: Column) -> TextModel:
 _PASSAGE = "array<struct<desde:int,hasta:int,palabras:int,letras:int,odds:array<float>>>"
 
 
-def read_passages(df: DataFrame, text: str, keep: list[str], model: TextModel) -> DataFrame:
-    """The columns ``keep``, the address suffix, and each passage with words: its span, size and log-likelihoods.
+def read_passages(read: DataFrame, keep: list[str], model: TextModel) -> DataFrame:
+    """The columns ``keep``, each passage's span, size and log-likelihoods, and ``leido``, the language of a text that is clear.
 
-    ``odds`` is relative to the mean of the languages. One pass over the texts without any shuffle; texts of any
-    length are read whole.
+    ``odds`` is relative to the mean of the languages.
     """
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast((model.words, model.triples))
-    schema = df.select(*keep).schema.simpleString()[len("struct<") : -1]
+    sent = read.sparkSession.sparkContext.broadcast((model.words, model.triples))
+    schema = read.select(*keep).schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, triples = sent.value
-        kind = pa.list_(pa.struct([("desde", pa.int32()), ("hasta", pa.int32()), ("palabras", pa.int32()), ("letras", pa.int32()), ("odds", pa.list_(pa.float32()))]))
         for batch in batches:
-            found, suffixes = [], []
-            for t in batch.column(len(keep)).to_pylist():
-                t = t or ""
-                address = _ADDRESS.search(t)
-                suffixes.append(address.group(1).lower() if address else None)
-                t, out = clean(t), []
-                for a, b in passages(t):
-                    words, letters = words_of(t[a:b])
-                    if letters:
-                        out.append({"desde": a, "hasta": b, "palabras": len(words), "letras": letters, "odds": score(words, known, triples).tolist()})
-                found.append(out)
-            columns = [batch.column(i) for i in range(len(keep))] + [pa.array(suffixes, pa.string()), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "sufijo", "pasajes"])
+            said = batch.column(len(keep))
+            parts = said.flatten()
+            odds = np.array([score(t.split(), known, triples) for t in parts.field(4).to_pylist()], np.float64).reshape(-1, len(LANGS))
+            size = pa.compute.list_value_length(said).to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(size)].astype(np.int32)
+            whole = np.array([odds[i:j].sum(0) for i, j in zip(at[:-1], at[1:])]).reshape(-1, len(LANGS))
+            order = np.sort(whole, 1)
+            clear = order[:, -1] - order[:, -2] >= WHOLE_ODDS
+            best = [LANGS[i] if c else None for i, c in zip(whole.argmax(1), clear)]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(odds) + 1, dtype=np.int32) * len(LANGS)), pa.array(odds.astype(np.float32).ravel(), pa.float32()))
+            each = pa.StructArray.from_arrays([*[parts.field(i) for i in range(4)], flat], names=["desde", "hasta", "palabras", "letras", "odds"])
+            columns = [batch.column(i) for i in range(len(keep))] + [pa.ListArray.from_arrays(pa.array(at), each), pa.array(best, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "pasajes", "leido"])
 
-    rows = df.select(*keep, df[text].alias("__text"))
-    return rows.mapInArrow(run, f"{schema},sufijo string,pasajes {_PASSAGE}")
+    return read.select(*keep, "frases").mapInArrow(run, f"{schema},pasajes {_PASSAGE},leido string")
 
 
-def _vector(values: list[Column]) -> Column:
-    return F.array(*values)
+_JUDGED = "array<struct<desde:int,hasta:int,palabras:int,letras:int,lang:string,confianza:double,entera:boolean>>"
+
+
+def judge(read: DataFrame, key: str) -> DataFrame:
+    """``key, declarada, lang, confianza, pasajes`` from passages and the ``prior`` of their text, by whole batches."""
+    fields = [f for f in read.select("__k", "declarada").schema.fields]
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip((key, "declarada"), fields))
 
+    def softmax(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x - x.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
 
-def _best(odds: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, LANGS)), F.array_position(odds, F.array_max(odds)).cast("int"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, k = pa.array(LANGS), len(LANGS)
+        for batch in batches:
+            said, n = batch.column(2), batch.num_rows
+            if not n:
+                continue
+            prior = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+            parts = said.flatten()
+            odds = parts.field(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, k)
+            letters, count = (parts.field(i).to_numpy(zero_copy_only=False) for i in (3, 2))
+            size = pa.compute.list_value_length(said).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(n), size)
+            post = softmax(odds + prior[doc]) if len(odds) else odds
+            lang = post.argmax(1) if len(odds) else np.empty(0, np.int64)
+            sure = post.max(1) if len(odds) else np.empty(0)
+            order = np.sort(odds, 1)
+            entire = (count >= WHOLE_WORDS) & (order[:, -1] - order[:, -2] >= WHOLE_ODDS)
+            mass = np.bincount(doc * k + lang, letters * sure, n * k).reshape(n, k)
+            said_in = np.bincount(doc * k + lang, letters, n * k).reshape(n, k)
+            alone = softmax(prior)
+            some = size > 0
+            best = np.where(some, mass.argmax(1), alone.argmax(1))
+            trust = np.where(some, mass.max(1) / np.maximum(said_in[np.arange(n), best], 1), alone.max(1))
+            each = pa.StructArray.from_arrays([*[parts.field(i) for i in range(4)], names.take(pa.array(lang)), pa.array(sure), pa.array(entire)], names=["desde", "hasta", "palabras", "letras", "lang", "confianza", "entera"])
+            at = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names.take(pa.array(best)), pa.array(trust), pa.ListArray.from_arrays(at, each)], names=[key, "declarada", "lang", "confianza", "pasajes"])
+
+    return read.select("__k", "declarada", "pasajes", "prior").mapInArrow(run, f"{schema}, lang string, confianza double, pasajes {_JUDGED}")
 
 
-def _posterior(odds: Column) -> Column:
-    """Softmax of log-odds, written so that nothing overflows."""
-    top = F.array_max(odds)
-    e = F.transform(odds, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+def _vector(values: list[Column]) -> Column:
+    return F.array(*values)
 
 
 def _counts(df: DataFrame, by: list[str]) -> DataFrame:
@@ -244,8 +303,8 @@ def identify(df: DataFrame, key: str, text: str, label: str, host: str, group: s
     ``pasajes`` (array of ``desde, hasta, palabras, letras, lang, confianza, entera``; spans count characters).
 
     The evidence is combined as independent log-likelihoods: the words of the text; the declared label, through
-    the table of how labels go with read languages; the suffix of an address in the text, through such a
-    table; and the prior of the text's host, whose counts are smoothed towards those of its group and those
+    the table of how labels go with read languages; the language declared in markup and the suffix of an address in
+    the text, through such tables; and the prior of the text's host, whose counts are smoothed towards those of its group and those
     towards the whole corpus. All tables come from grouped aggregations over all documents; the ones by label and by
     group are joined by their key like that of the hosts, whatever their size. A document has the language with
     most letters among its passages; passages that say little lean on the other evidence.
@@ -258,17 +317,9 @@ def identify(df: DataFrame, key: str, text: str, label: str, host: str, group: s
     spark = df.sparkSession
     stages = Stages(spark, "langid")
     base = df.select(df[key].alias("__k"), df[text].alias("__t"), label_language(df[label]).alias("declarada"), F.col(host).alias("__host"), F.col(group).alias("__group"))
-    model = fit(base, "__t", F.col("declarada"))
-    read = read_passages(base, "__t", ["__k", "declarada", "__host", "__group"], model)
-    whole = F.aggregate(
-        F.transform("pasajes", lambda p: p["odds"]),
-        F.array(*[F.lit(0.0)] * len(LANGS)),
-        lambda s, o: F.zip_with(s, o, lambda a, b: a + b),
-    )
-    read = read.withColumn("odds", whole)
-    clear = F.array_max("odds") - F.element_at(F.array_sort("odds"), len(LANGS) - 1)
-    read = read.withColumn("leido", F.when(clear >= WHOLE_ODDS, _best(F.col("odds"))))
-    read = stages.cut(read, "read")
+    said = stages.cut(tokens(base, "__t", ["__k", "declarada", "__host", "__group"]), "tokens")
+    model = fit(said, "declarada")
+    read = stages.cut(read_passages(said, ["__k", "declarada", "__host", "__group", "sufijo", "marcado"], model), "read")
 
     sure = read.where("leido is not null")
     flat = F.array(*[F.lit(1.0 / len(LANGS))] * len(LANGS))
@@ -283,38 +334,13 @@ def identify(df: DataFrame, key: str, text: str, label: str, host: str, group: s
         return seen.crossJoin(F.broadcast(total)).select(column, F.zip_with("n", "__n", lambda a, t: F.log((a + 1.0) / (t + 10.0))).alias(name))
 
     none = F.array(*[F.lit(0.0)] * len(LANGS))
-    for right, column in ((groups, "__group"), (hosts, "__host"), (table_of("declarada", "__l"), "declarada"), (table_of("sufijo", "__s"), "sufijo")):
+    for right, column in ((groups, "__group"), (hosts, "__host"), (table_of("declarada", "__l"), "declarada"), (table_of("sufijo", "__s"), "sufijo"), (table_of("marcado", "__x"), "marcado")):
         side = right.withColumnRenamed(column, "__on")
         read = read.join(side, read[column].eqNullSafe(side["__on"]), "left").drop("__on")
     read = read.crossJoin(F.broadcast(overall))
     prior = _smoothed(F.coalesce("__h", none), F.coalesce("__g", "__all"), 10.0)
-    read = read.withColumn("prior", _add(_log(prior), F.coalesce("__l", none), F.coalesce("__s", none)))
-
-    def judged(p: Column) -> Column:
-        o = p["odds"].cast("array<double>")
-        post = _posterior(_add(o, F.col("prior")))
-        margin = F.array_max(o) - F.element_at(F.array_sort(o), len(LANGS) - 1)
-        return F.struct(
-            p["desde"].alias("desde"), p["hasta"].alias("hasta"), p["palabras"].alias("palabras"), p["letras"].alias("letras"),
-            _best(post).alias("lang"), F.array_max(post).alias("confianza"),
-            ((p["palabras"] >= WHOLE_WORDS) & (margin >= WHOLE_ODDS)).alias("entera"),
-        )
-
-    read = read.withColumn("j", F.transform("pasajes", judged))
-    def mass_of(lang: str) -> Column:
-        part = F.transform("j", lambda p: F.when(p["lang"] == lang, p["letras"] * p["confianza"]).otherwise(0.0))
-        return F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
-
-    mass = _vector([mass_of(l) for l in LANGS])
-    alone = _posterior(F.col("prior"))
-    some = F.size("j") > 0
-    out = read.withColumn("__m", F.when(some, mass).otherwise(alone)).withColumn("lang", _best(F.col("__m")))
-    letters = F.aggregate("j", F.lit(0.0), lambda s, p: s + F.when(p["lang"] == F.col("lang"), p["letras"].cast("double")).otherwise(0.0))
-    share = F.array_max("__m") / F.greatest(letters, F.lit(1.0))
-    out = out.select(
-        F.col("__k").alias(key), "declarada", "lang", F.when(some, share).otherwise(F.array_max("__m")).alias("confianza"), F.col("j").alias("pasajes")
-    )
-    return stages.cut(out, "judged")
+    read = read.withColumn("prior", _add(_log(prior), F.coalesce("__l", none), F.coalesce("__s", none), F.coalesce("__x", none)))
+    return stages.cut(judge(read, key), "judged")
 
 
 def label_cases(identified: DataFrame, key: str) -> DataFrame:

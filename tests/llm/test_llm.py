@@ -157,6 +157,16 @@ def test_languages(spark):
     assert langid.identify(df.limit(0), "doc", "text", "lang", "pasajes", "j").count() == 0
 
 
+def test_markup_declares_a_language(spark):
+    """Texts without words have no evidence of their own; the language of their markup decides."""
+    docs = documents(7, 300)
+    marked = [(d[0], f'<p lang="{d[5]}">{d[1]}</p>', d[2], d[3], d[4]) for d in docs]
+    bare = [(5000 + i, f"<html><body xml:lang='{l}' class='{'x' * 300}'>123 456</body></html>", None, None, None) for i, l in enumerate(langid.LANGS)]
+    df = spark.createDataFrame(marked + bare, "doc long, text string, lang string, host string, grp string")
+    got = {r["doc"]: r for r in langid.identify(df, "doc", "text", "lang", "host", "grp").collect()}
+    assert [got[5000 + i]["lang"] for i in range(5)] == langid.LANGS and not got[5000]["pasajes"]
+
+
 def test_labels(spark):
     data = [(" es", "es"), ("Español", "es"), ("es_419", "es"), ("pt-BR", "pt"), ("Inglés", "en"), ("français", "fr"), ("ita", "it"), ("xx", None), ("", None), (None, None), ("No Definido", None), ("?", None)]
     df = spark.createDataFrame(data, "l string, w string")
