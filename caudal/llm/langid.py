@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,11 @@ _ADDRESS = re.compile(r"https?://[^/\s:]*\.([a-z]{2,})(?![\w.])", re.I)
 _DECLARED = re.compile(r"<[a-z][^<>]*?\blang\s*=\s*[\"']?\s*([a-z]+)", re.I)
 
 
+@lru_cache(maxsize=200_000)
 def level(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -85,7 +89,7 @@ def words_of(passage: str) -> tuple[list[str], int]:
     letters = sum(map(len, raw))
     if not passage.isupper():
         raw = [w for i, w in enumerate(raw) if i == 0 or not w[0].isupper()]
-    return level(" ".join(raw)).split(), letters
+    return [x for w in raw for x in level(w).split()], letters
 
 
 _TOKENS = "array<struct<desde:int,hasta:int,palabras:int,letras:int,texto:string>>"
@@ -172,20 +176,43 @@ def letter_triples(word: str) -> list[str]:
     return [p[i : i + 3] for i in range(len(p) - 2)]
 
 
-def score(words: list[str], known: dict[str, np.ndarray], triples: dict[str, np.ndarray]) -> np.ndarray:
-    """Sum of the words' log-likelihoods by language, relative to the mean of the languages."""
-    out = np.zeros(len(LANGS), np.float64)
-    for w in words:
-        v = known.get(w)
-        if v is None:
-            g = [triples[x] for x in letter_triples(w) if x in triples]
-            if not g:
-                continue
-            v = np.mean(g, 0)
-            v = np.clip(v - v.mean(), -1, 1)
-        if v is not None:
-            out += v
-    return out
+class Scores(dict):
+    """Row of each word in ``table``, the words' log-likelihoods by language relative to the mean of the languages.
+
+    A word that the model has not kept gets the mean of its letter triples, or nothing, and a row of its own.
+    """
+
+    def __init__(self, model: TextModel) -> None:
+        super().__init__({w: i + 1 for i, w in enumerate(model.words)})
+        self.rows, self.model, self.triples = [np.zeros(len(LANGS)), *model.words.values()], len(self) + 1, model.triples
+        self.table = np.array(self.rows, np.float64)
+
+    def __missing__(self, word: str) -> int:
+        g = [self.triples[x] for x in letter_triples(word) if x in self.triples]
+        if not g:
+            self[word] = 0
+            return 0
+        v = np.mean(g, 0)
+        self.rows.append(np.clip(v - v.mean(), -1, 1))
+        self[word] = len(self.rows) - 1
+        return len(self.rows) - 1
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """Sum over the words of each text."""
+        if len(self.rows) > self.model + FLUSH_WORDS:
+            for w in [w for w, i in self.items() if i >= self.model or not i]:
+                del self[w]
+            del self.rows[self.model :]
+            self.table = self.table[: self.model]
+        words = [t.split() for t in texts]
+        at = np.cumsum([0, *map(len, words)])
+        ids = np.fromiter((self[w] for part in words for w in part), np.int64, at[-1])
+        if len(self.rows) > len(self.table):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.float64)])
+        # A last row of zeros stands behind the last text; a text without words has no sum.
+        out = np.add.reduceat(np.r_[self.table[ids], np.zeros((1, len(LANGS)))], at[:-1], 0) if len(words) else np.empty((0, len(LANGS)))
+        out[np.diff(at) == 0] = 0
+        return out
 
 
 def fit(read: DataFrame, lang: str) -> TextModel:
@@ -206,15 +233,15 @@ def read_passages(read: DataFrame, keep: list[str], model: TextModel) -> DataFra
 
     ``odds`` is relative to the mean of the languages.
     """
-    sent = read.sparkSession.sparkContext.broadcast((model.words, model.triples))
+    sent = read.sparkSession.sparkContext.broadcast(model)
     schema = read.select(*keep).schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, triples = sent.value
+        scores = Scores(sent.value)
         for batch in batches:
             said = batch.column(len(keep))
             parts = said.flatten()
-            odds = np.array([score(t.split(), known, triples) for t in parts.field(4).to_pylist()], np.float64).reshape(-1, len(LANGS))
+            odds = scores.of(parts.field(4).to_pylist())
             size = pa.compute.list_value_length(said).to_numpy(zero_copy_only=False)
             at = np.r_[0, np.cumsum(size)].astype(np.int32)
             whole = np.array([odds[i:j].sum(0) for i, j in zip(at[:-1], at[1:])]).reshape(-1, len(LANGS))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BUCKETS = 4096
+#: Parts into which a range of hashes is cut at a time; documents of a range that are gone through one by one; end of the hashes.
+PARTS, FEW, END = 1024, 512, 2**63 - 1
 
 
 def feasible_total(sizes: dict[str, int], weights: dict[str, float], caps: dict[str, int]) -> float:
@@ -64,43 +65,70 @@ def plan(sized: DataFrame, targets: DataFrame, total: float | None) -> DataFrame
 
 
 def _fill(docs: pd.DataFrame) -> pd.DataFrame:
-    """Marks documents of one range, in hash order, that fit into what is left; then the best last one."""
+    """How many copies (``tomadas``) of each document of one range, in hash order, fit into what is left; then the best last one."""
     docs = docs.sort_values(["__h", "n_tokens"], kind="stable")
-    left = float(docs["resto"].iloc[0] - docs["__from"].iloc[0])
-    sizes, taken = docs["n_tokens"].fillna(0).to_numpy(), np.zeros(len(docs), bool)
-    for i, n in enumerate(sizes):
-        if n <= left:
-            taken[i], left = True, left - n
-    if (~taken).any():
-        i = np.where(taken, np.inf, np.abs(left - sizes)).argmin()
-        taken[i] = abs(left - sizes[i]) < left
-    return docs.assign(repeticiones=docs["enteras"] + taken)
+    left = float(docs["__left"].iloc[0])
+    sizes, copies, taken = docs["n_tokens"].fillna(0).to_numpy(), docs["copias"].to_numpy(), np.zeros(len(docs), np.int64)
+    for i, (n, k) in enumerate(zip(sizes, copies)):
+        taken[i] = k if n <= 0 else min(k, int(left // n))
+        left -= taken[i] * n
+    if (taken < copies).any():
+        i = np.where(taken < copies, np.abs(left - sizes), np.inf).argmin()
+        taken[i] += abs(left - sizes[i]) < left
+    return docs.assign(tomadas=taken)
+
+
+def _last_ranges(docs: DataFrame, rests: dict[str, float]) -> dict[str, tuple[int, int, float]]:
+    """For each source the range of hashes in which its rest ends, of at most FEW documents or a single hash, and what is left there.
+
+    All documents below the range are taken and none above it. A round cuts each range into PARTS and keeps the one in
+    which the sum passes the rest, so a source of n documents takes about log(n) / log(PARTS) rounds; only sums of
+    the parts are gathered, and their running sum goes over PARTS rows.
+    """
+    spark = docs.sparkSession
+    found = {s: (0, 0, 0.0) for s, rest in rests.items() if rest <= 0}
+    at = {s: (0, END, rest) for s, rest in rests.items() if rest > 0}
+    while at:
+        width = {s: max(1, -(-(hi - lo) // PARTS)) for s, (lo, hi, _) in at.items()}
+        state = spark.createDataFrame([(s, lo, hi, left, width[s]) for s, (lo, hi, left) in at.items()], "source string, __lo long, __hi long, __left double, __w long")
+        inside = docs.join(F.broadcast(state), "source").where("__h >= __lo and __h < __hi").withColumn("__b", F.expr("(__h - __lo) div __w"))
+        parts = inside.groupBy("source", "__b", "__left").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("k"))
+        upto = F.sum("t").over(Window.partitionBy("source").orderBy("__b"))
+        over = parts.withColumn("__to", upto).where("__to > __left").groupBy("source").agg(F.min(F.struct("__b", "k", (F.col("__to") - F.col("t")).alias("before"))).alias("p"))
+        cut = {r["source"]: r["p"] for r in over.collect()}
+        after = {}
+        for s, (lo, hi, left) in at.items():
+            if s not in cut:
+                found[s] = (hi, hi, 0.0)  # the rest is all that the range holds
+                continue
+            low = lo + cut[s]["__b"] * width[s]
+            state_of = (low, min(hi, low + width[s]), left - cut[s]["before"])
+            (found if cut[s]["k"] <= FEW or width[s] == 1 else after)[s] = state_of
+        at = after
+    return found
 
 
 def mix(sized: DataFrame, key: str, plan_rows: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix: ``key, source, n_tokens, repeticiones``.
 
-    Each source comes ``enteras`` times whole; for the rest, its documents are put in the order of a seeded hash and
-    taken until ``resto`` tokens are reached. The order is cut into ranges of the hash, at most BUCKETS a source:
-    sums by range decide all ranges but the one where the rest ends, and only that range (a few hundred documents,
-    or one in BUCKETS of a very large source) is gone through one by one, skipping documents that no longer fit.
-    The choice depends on key and seed alone. Documents without source or of a source without target are left
-    out; those of 0 tokens follow their range; documents of equal or null key stand side by side.
+    Each source comes ``enteras`` times whole; for the rest, its documents are put in the order of a seeded hash of key and
+    size and taken until ``resto`` tokens are reached. Ranges of the hash are narrowed until the one where the rest
+    ends has at most FEW documents (``_last_ranges``); only those are gone through one by one, skipping documents
+    that no longer fit. Copies of one row count as one document with a number there, so no task holds them. The choice
+    depends on key, size and seed alone. Documents without source or of a source without target are left out.
     """
-    rows = plan_rows.select("source", "enteras", "resto", F.greatest(F.lit(1), F.least(F.lit(BUCKETS), F.expr("documentos div 256"))).alias("__n"))
-    docs = sized.select(key, "source", "n_tokens", F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
-    docs = docs.join(F.broadcast(rows), "source")
-    docs = docs.withColumn("__b", F.floor(F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53)) * F.col("__n")).cast("int")).drop("__n")
-    docs = docs.withColumn("__h", F.shiftrightunsigned("__h", 11))
-    ranges = docs.where("resto > 0").groupBy("source", "__b", "resto").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"))
-    upto = F.sum("t").over(Window.partitionBy("source").orderBy("__b"))
-    cut = ranges.withColumn("__to", upto).select("source", "__b", (F.col("__to") - F.col("t")).alias("__from"), "__to")
-    placed = docs.join(F.broadcast(cut), ["source", "__b"], "left")
-    inside = F.when(F.col("__to").isNull() | (F.col("__from") >= F.col("resto")), 0).when(F.col("__to") <= F.col("resto"), 1)
-    placed = placed.withColumn("__extra", inside)
-    done = placed.where("__extra is not null").select(key, "source", "n_tokens", (F.col("enteras") + F.col("__extra")).alias("repeticiones"))
-    edge = placed.where("__extra is null").drop("__extra").withColumn("repeticiones", F.lit(0))
-    edge = edge.groupBy("source").applyInPandas(_fill, edge.schema).select(key, "source", "n_tokens", "repeticiones")
+    rows = [(r["source"], int(r["enteras"]), float(r["resto"])) for r in plan_rows.select("source", "enteras", "resto").collect()]
+    docs = sized.select(key, "source", "n_tokens", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), "n_tokens"), 1).alias("__h"))
+    last = _last_ranges(docs, {s: rest for s, _, rest in rows})
+    state = sized.sparkSession.createDataFrame([(s, e, *last[s]) for s, e, _ in rows], "source string, enteras int, __lo long, __hi long, __left double")
+    placed = docs.join(F.broadcast(state), "source")
+    inside = (F.col("__h") >= F.col("__lo")) & (F.col("__h") < F.col("__hi"))
+    done = placed.where(~inside).select(key, "source", "n_tokens", (F.col("enteras") + (F.col("__h") < F.col("__lo")).cast("int")).alias("repeticiones"))
+    edge = placed.where(inside).groupBy(key, "source", "n_tokens", "__h", "enteras", "__left").agg(F.count(F.lit(1)).alias("copias")).withColumn("tomadas", F.lit(0).cast("long"))
+    edge = edge.groupBy("source").applyInPandas(_fill, edge.schema)
+    times = F.array(F.struct((F.col("enteras") + 1).alias("r"), F.col("tomadas").alias("n")), F.struct(F.col("enteras").alias("r"), (F.col("copias") - F.col("tomadas")).alias("n")))
+    edge = edge.select(key, "source", "n_tokens", F.explode(times).alias("x")).where("x.n > 0 and x.r > 0")
+    edge = edge.select(key, "source", "n_tokens", F.col("x.r").alias("repeticiones"), F.explode(F.sequence(F.lit(1).cast("long"), "x.n"))).drop("col")
     return done.unionByName(edge).where("repeticiones > 0")
 
 

@@ -75,6 +75,12 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
+@query
+def p7_mix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and repetitions of a mix as large as the corpus: sources at their cap are clamped, others take over."""
+    return _mixed(spark, sf_dir, True)[0]
+
+
 @query
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source in that mix."""

@@ -437,3 +437,30 @@ def test_name_similarity():
     assert one("ZECRETARIA", "SECRETARIA")[0] > 0.9
     assert one("SALUD", "EDUCACION") == (0.0, 0.0)
     assert names.monge_elkan([], ["X"], [], [1.0]) == (0.0, 0.0)
+
+
+def test_scores_of_words():
+    model = langid.TextModel({"casa": [9, 0, 1, 0, 0], "house": [0, 9, 0, 0, 0]})
+    s = langid.Scores(model)
+    one = s.of(["casa house casa", "", "casita", "ñññ", "house"])
+    assert np.allclose(one[0], 2 * model.words["casa"].astype(float) + model.words["house"]) and not one[1].any() and not one[3].any()
+    assert one[2].argmax() == 0 and np.allclose(one[4], model.words["house"])
+    assert s.of([]).shape == (0, len(langid.LANGS))
+
+
+def test_ranges_are_narrowed(spark, monkeypatch):
+    """With tiny ranges the choice takes several rounds and stays within a document of its goal; copies are not told apart."""
+    rnd = random.Random(9)
+    docs = [(i, "a", rnd.choice([1, 5, 20])) for i in range(3000)] + [(None, "a", 5)] * 400 + [(7777, "b", 10)] * 50
+    sized = spark.createDataFrame(docs, "doc long, source string, n_tokens int")
+    plan = spark.createDataFrame([("a", 1, 9000.0), ("b", 0, 123.0), ("c", 0, 5.0), ("d", 2, 0.0)], "source string, enteras int, resto double")
+    monkeypatch.setattr(mixing, "PARTS", 4)
+    monkeypatch.setattr(mixing, "FEW", 2)
+    mixed = mixing.mix(sized, "doc", plan)
+    got = {r["source"]: (r["n"], r["t"], r["hi"]) for r in mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_tokens") * F.col("repeticiones")).alias("t"), F.max("repeticiones").alias("hi")).collect()}
+    size = sum(d[2] for d in docs if d[1] == "a")
+    assert got["a"][0] == 3400 and abs(got["a"][1] - size - 9000) <= 20 and got["a"][2] == 2
+    assert got["b"] == (12, 120, 1) and set(got) == {"a", "b"}
+    monkeypatch.setattr(mixing, "PARTS", 1024)
+    monkeypatch.setattr(mixing, "FEW", 512)
+    assert abs(mixing.mix(sized, "doc", plan).where("source = 'a'").agg(F.sum(F.col("n_tokens") * F.col("repeticiones"))).first()[0] - size - 9000) <= 20
