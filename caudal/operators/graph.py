@@ -201,3 +201,18 @@ def propagate(awards: DataFrame, values: DataFrame, columns: list[str]) -> DataF
         F.sum(F.col("__n") - 1).alias("vecinos"), *[F.sum(F.col(f"__s_{c}") - F.col(c)).alias(f"__t_{c}") for c in columns]
     )
     return back.select("actor", "vecinos", *[F.coalesce(F.try_divide(F.col(f"__t_{c}"), F.col("vecinos")), F.lit(0.0)).alias(f"{c}_vecinos") for c in columns])
+
+
+def hops(awards: DataFrame, values: DataFrame, columns: list[str], steps: int = 2) -> DataFrame:
+    """``actor, vecinos``, the columns, and their means ``c_1`` ... ``c_steps`` one to ``steps`` applications of ``propagate`` away.
+
+    Each step is written to the shared folder, so the next starts from a table of one row an actor.
+    """
+    stages = Stages(values.sparkSession, "hops")
+    out = last = values
+    for step in range(1, steps + 1):
+        near = stages.cut(propagate(awards, last, columns), f"step{step}")
+        last = near.select("actor", *[F.col(f"{c}_vecinos").alias(c) for c in columns])
+        named = near.select("actor", *(["vecinos"] if step == 1 else []), *[F.col(f"{c}_vecinos").alias(f"{c}_{step}") for c in columns])
+        out = out.join(named, "actor")
+    return out

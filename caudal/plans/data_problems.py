@@ -89,34 +89,35 @@ def _composite(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
     """Awards named by a contract (buyer and supplier together) that no tender knows."""
     level = [references.levelled_reference(F.col(c)).alias(c) for c in _COMPOSITE_KEYS]
     refs = references.first_delivery(table(spark, sf_dir, "contratos"), "id_contrato", "fecha_carga", _COMPOSITE_KEYS)
-    refs = refs.select("id_contrato", *level)
+    refs = refs.select("id_contrato", "fecha_carga", *level)
     keys = [references.levelled_reference(F.col(c)) for c in _COMPOSITE_KEYS]
     targets = references.target_state(table(spark, sf_dir, "procesos"), keys, "fecha_carga", "fecha_baja", _COMPOSITE_KEYS)
-    return references.dangling(refs, _COMPOSITE_KEYS, targets, _COMPOSITE_KEYS, match).select("id_contrato", *_COMPOSITE_KEYS, "motivo")
+    return references.dangling(refs, _COMPOSITE_KEYS, targets, _COMPOSITE_KEYS, match, when="fecha_carga").select("id_contrato", *_COMPOSITE_KEYS, "motivo")
 
 
-_COMPOSITE_SQL = f"""WITH r AS (SELECT id_contrato, {_REF.format(c='codigo_entidad')} AS e, {_REF.format(c='codigo_proveedor')} AS p FROM
+_COMPOSITE_SQL = f"""WITH r AS (SELECT id_contrato, fecha_carga AS f, {_REF.format(c='codigo_entidad')} AS e, {_REF.format(c='codigo_proveedor')} AS p FROM
     (SELECT * FROM contratos WHERE id_contrato IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id_contrato ORDER BY fecha_carga NULLS LAST, codigo_entidad NULLS FIRST, codigo_proveedor NULLS FIRST) = 1)),
-    t AS (SELECT {_REF.format(c='codigo_entidad')} AS e, {_REF.format(c='codigo_proveedor')} AS p, bool_and(fecha_baja IS NOT NULL) AS b FROM procesos GROUP BY ALL),
-    te AS (SELECT e, bool_and(b) AS b FROM t GROUP BY e), tp AS (SELECT p, bool_and(b) AS b FROM t GROUP BY p),
-    j AS (SELECT id_contrato, r.e AS codigo_entidad, r.p AS codigo_proveedor,
+    t AS (SELECT {_REF.format(c='codigo_entidad')} AS e, {_REF.format(c='codigo_proveedor')} AS p, bool_and(fecha_baja IS NOT NULL) AS b, min(fecha_carga) AS d FROM procesos GROUP BY ALL),
+    te AS (SELECT e, bool_and(b) AS b, min(d) AS d FROM t GROUP BY e), tp AS (SELECT p, bool_and(b) AS b, min(d) AS d FROM t GROUP BY p),
+    j AS (SELECT id_contrato, f, r.e AS codigo_entidad, r.p AS codigo_proveedor,
       CASE WHEN r.e IS NOT NULL AND r.p IS NOT NULL THEN 'both' WHEN r.e IS NULL AND r.p IS NULL THEN 'none' ELSE 'part' END AS mask,
-      CASE WHEN r.p IS NULL THEN te.b WHEN r.e IS NULL THEN tp.b ELSE t.b END AS b
-      FROM r LEFT JOIN t ON r.e = t.e AND r.p = t.p LEFT JOIN te ON r.e = te.e LEFT JOIN tp ON r.p = tp.p)
-    SELECT id_contrato, codigo_entidad, codigo_proveedor, CASE WHEN b IS NULL THEN 'ausente' ELSE 'borrada' END AS motivo FROM j WHERE """
+      CASE WHEN r.p IS NULL THEN te.b WHEN r.e IS NULL THEN tp.b ELSE t.b END AS b, CASE WHEN r.p IS NULL THEN te.d WHEN r.e IS NULL THEN tp.d ELSE t.d END AS d
+      FROM r LEFT JOIN t ON r.e = t.e AND r.p = t.p LEFT JOIN te ON r.e = te.e LEFT JOIN tp ON r.p = tp.p),
+    m AS (SELECT *, CASE WHEN b IS NULL THEN 'ausente' WHEN b THEN 'borrada' WHEN d > f THEN 'tardia' END AS motivo FROM j)
+    SELECT id_contrato, codigo_entidad, codigo_proveedor, motivo FROM m WHERE """
 
 
-@query(_COMPOSITE_SQL + "mask = 'both' AND coalesce(b, true)")
+@query(_COMPOSITE_SQL + "mask = 'both' AND motivo IS NOT NULL")
 def p4_composite_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _composite(spark, sf_dir, "simple")
 
 
-@query(_COMPOSITE_SQL + "mask <> 'none' AND coalesce(b, true)")
+@query(_COMPOSITE_SQL + "mask <> 'none' AND motivo IS NOT NULL")
 def p4_composite_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _composite(spark, sf_dir, "partial")
 
 
-@query(_COMPOSITE_SQL.replace("CASE WHEN b IS NULL", "CASE WHEN b IS NULL OR mask = 'part'") + "mask = 'part' OR mask = 'both' AND coalesce(b, true)")
+@query(_COMPOSITE_SQL.replace("CASE WHEN b IS NULL", "CASE WHEN b IS NULL OR mask = 'part'") + "mask <> 'none' AND motivo IS NOT NULL")
 def p4_composite_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _composite(spark, sf_dir, "full")
 

@@ -149,7 +149,7 @@ _BLOCKED = "i AS MATERIALIZED " + _INPUT + ", p AS (" + " UNION ".join(f"SELECT
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = linkage_input(spark, sf_dir)
-    return linkage.blocked_pairs(i, "id_nodo", linkage.audited(i, rules(), 20_000_000), ["nombre", "doc", "rep", "correo", "telefono"])
+    return linkage.blocked_pairs(i, "id_nodo", rules(), ["nombre", "doc", "rep", "correo", "telefono"])
 
 
 @query(f"WITH {_BLOCKED} SELECT l, r FROM p")
@@ -261,21 +261,21 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(c.groupBy("grupo").agg(F.count(F.lit(1)).alias("miembros")), "grupo").select("id", "grupo", "miembros")
 
 
-KEY = b"caudal-demo-key"
+KEY = digest.key()
 PREFIXES = {"persona_juridica": ("P-", 5), "union_temporal": ("UT-", 4), "persona_natural": ("N-", 5)}
 
 
 @query(
     f"""SELECT id_nodo, CASE tipo_nodo WHEN 'persona_juridica' THEN 'P-' || lpad(CAST(i AS VARCHAR), CAST(greatest(5, length(CAST(i AS VARCHAR))) AS INTEGER), '0') WHEN 'union_temporal' THEN 'UT-' || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), '0')
     WHEN 'persona_natural' THEN 'N-' || lpad(CAST(i AS VARCHAR), CAST(greatest(5, length(CAST(i AS VARCHAR))) AS INTEGER), '0') ELSE 'X-' || lpad(CAST(i AS VARCHAR), CAST(greatest(4, length(CAST(i AS VARCHAR))) AS INTEGER), '0') END AS seudonimo
-    FROM (SELECT id_nodo, tipo_nodo, row_number() OVER (PARTITION BY tipo_nodo ORDER BY sha256('caudal-demo-key' || id_nodo), id_nodo) AS i FROM {base.ACTORS})"""
+    FROM (SELECT id_nodo, tipo_nodo, row_number() OVER (PARTITION BY tipo_nodo ORDER BY {digest.sql_hmac('id_nodo', KEY)}, id_nodo) AS i FROM {base.ACTORS})"""
 )
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running numbers within each kind, in the order of a keyed digest.
 
     Numbers come from the sizes of ranges of the digest, so no kind is ordered in one task.
     """
-    a = base.actors(spark, sf_dir).select("id_nodo", "tipo_nodo", F.sha2(F.concat(F.lit(KEY.decode()), "id_nodo"), 256).alias("h"))
+    a = base.actors(spark, sf_dir).select("id_nodo", "tipo_nodo", digest.hmac_sha256(F.col("id_nodo"), KEY).alias("h"))
     a = a.withColumn("b", F.left("h", F.lit(2)))
     sizes = a.groupBy("tipo_nodo", "b").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("antes", F.sum("n").over(Window.partitionBy("tipo_nodo").orderBy("b")) - F.col("n")).drop("n")
@@ -287,20 +287,29 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("id_nodo", out.alias("seudonimo"))
 
 
-@query()
+@query(
+    f"""SELECT tipo, 'A-' || left({digest.sql_hmac('origen', KEY)}, 24) AS origen, 'A-' || left({digest.sql_hmac('destino', KEY)}, 24) AS destino, peso, CASE WHEN tipo NOT IN ('representado_por', 'comparte_contacto') THEN detalle END AS detalle
+    FROM vinculo_2025 WHERE origen IS NOT NULL AND destino IS NOT NULL"""
+)
 def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge list with opaque ends, without details that name people; unknown ends stay out."""
     v = table(spark, sf_dir, "vinculo_2025").where("origen is not null and destino is not null")
     detail = F.when(F.col("tipo").isin("representado_por", "comparte_contacto"), F.lit(None)).otherwise(F.col("detalle"))
-    return v.select("tipo", digest.opaque(F.col("origen"), KEY, "A-").alias("origen"), digest.opaque(F.col("destino"), KEY, "A-").alias("destino"), "peso", detail.alias("detalle"))
+    return v.select("tipo", digest.opaque(F.col("origen"), KEY, "A-", 24).alias("origen"), digest.opaque(F.col("destino"), KEY, "A-", 24).alias("destino"), "peso", detail.alias("detalle"))
 
 
 @query(
-    f"""WITH m AS (SELECT codigo_entidad, regexp_replace(upper(codigo_entidad), '_DUP[0-9]*$', '') AS nuevo FROM {base.BUYERS})
-    SELECT coalesce('ENT:' || m.nuevo, v.origen) AS origen, destino, count(*) AS filas, CAST(sum(peso) AS BIGINT) AS peso FROM vinculo_2025 v LEFT JOIN m ON v.origen = 'ENT:' || m.codigo_entidad WHERE tipo = 'adjudica' GROUP BY 1, 2"""
+    f"""WITH b AS MATERIALIZED {base.BUYERS}, m AS (SELECT codigo_entidad, regexp_extract(upper(codigo_entidad), '^(.*)_DUP[0-9]*$', 1) AS nuevo FROM b), k AS (SELECT m.codigo_entidad, nuevo FROM m JOIN b ON b.codigo_entidad = nuevo)
+    SELECT coalesce('ENT:' || o.nuevo, v.origen) AS origen, coalesce('ENT:' || d.nuevo, v.destino) AS destino, tipo, count(*) AS filas, CAST(sum(peso) AS BIGINT) AS peso FROM vinculo_2025 v LEFT JOIN k o ON v.origen = 'ENT:' || o.codigo_entidad LEFT JOIN k d ON v.destino = 'ENT:' || d.codigo_entidad
+    WHERE tipo IN ('adjudica', 'se_presenta_a') GROUP BY ALL"""
 )
 def edge_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Award edges moved to consolidated buyers and added up again."""
-    m = base.buyers(spark, sf_dir).select(F.concat(F.lit("ENT:"), "codigo_entidad").alias("origen"), F.concat(F.lit("ENT:"), F.regexp_replace(F.upper("codigo_entidad"), "_DUP[0-9]*$", "")).alias("nuevo"))
-    v = table(spark, sf_dir, "vinculo_2025").where("tipo = 'adjudica'").join(m, "origen", "left")
-    return v.groupBy(F.coalesce("nuevo", "origen").alias("origen"), "destino").agg(F.count(F.lit(1)).alias("filas"), F.sum("peso").alias("peso"))
+    """Edges of buyers at either end moved to the base code, where one exists, and added up again."""
+    b = base.buyers(spark, sf_dir).select("codigo_entidad")
+    ent = lambda c: F.concat(F.lit("ENT:"), c)
+    copies = b.select("codigo_entidad", F.regexp_extract(F.upper("codigo_entidad"), "^(.*)_DUP[0-9]*$", 1).alias("base")).where("base <> ''")
+    known = copies.join(b.select(F.col("codigo_entidad").alias("base")), "base")
+    v = table(spark, sf_dir, "vinculo_2025").where(F.col("tipo").isin("adjudica", "se_presenta_a"))
+    for end in ("origen", "destino"):
+        v = v.join(known.select(ent("codigo_entidad").alias(end), ent("base").alias(f"{end}_nuevo")), end, "left")
+    return v.groupBy(F.coalesce("origen_nuevo", "origen").alias("origen"), F.coalesce("destino_nuevo", "destino").alias("destino"), "tipo").agg(F.count(F.lit(1)).alias("filas"), F.sum("peso").alias("peso"))

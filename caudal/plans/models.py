@@ -7,33 +7,26 @@ from pyspark.sql import functions as F
 
 from caudal.functions.casts import displayed
 from caudal.operators import metrics
-from caudal.plans.evaluation import _CRI, _PRED, model_matrix, predictions
+from caudal.plans.evaluation import _CRI, _PRED, FEATURES, model_matrix, predictions
 from caudal.plans.registry import query
 from caudal.plans.warehouse import cri
 
-FEATURES = ["log_n", "reparto", "solo", "directa", "minima"]
-
-
 @query()
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean area under the curve of each grid point over the three folds, which are the same for every point."""
+    """Mean area under the curve of each grid point (penalty by balance of classes) over the three folds, the same for every point."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    lr = LogisticRegression(labelCol="y", maxIter=20)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
-    rows = model_matrix(spark, sf_dir).where("not prueba").cache()
-    try:
-        cv = CrossValidator(
-            estimator=Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), lr]), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=3, foldCol="pliegue", parallelism=2
-        )
-        found = cv.fit(rows).avgMetrics
-    finally:
-        rows.unpersist()
-    return spark.createDataFrame([(float(g[lr.regParam]), float(a)) for g, a in zip(grid, found)], "regularizacion double, auc double")
+    lr = LogisticRegression(labelCol="y", maxIter=50)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1, 1.0]).addGrid(lr.weightCol, ["uno", "balance"]).build()
+    rows = model_matrix(spark, sf_dir).where("not prueba").withColumn("uno", F.lit(1.0))
+    steps = [VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), lr]
+    cv = CrossValidator(estimator=Pipeline(stages=steps), estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="y"), numFolds=3, foldCol="pliegue", parallelism=4)
+    found = cv.fit(rows).avgMetrics
+    return spark.createDataFrame([(float(g[lr.regParam]), g[lr.weightCol] == "balance", float(a)) for g, a in zip(grid, found)], "regularizacion double, equilibrada boolean, auc double")
 
 
 #: Weights of the index by component (fixed values).
@@ -69,12 +62,20 @@ def leading_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy(F.col("b.rasgo").alias("rasgo")).agg(F.count(F.lit(1)).alias("proveedores"))
 
 
-@query()
+@query(
+    f"""WITH {_PRED}, c AS (SELECT CAST(count(*) FILTER (WHERE p >= .4 AND n >= 10) AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE p >= .4 AND n < 10) AS DOUBLE) AS y, CAST(count(*) FILTER (WHERE p < .4 AND n >= 10) AS DOUBLE) AS z, CAST(count(*) FILTER (WHERE p < .4 AND n < 10) AS DOUBLE) AS w FROM pred),
+    fx AS (SELECT *, x + y + z + w AS n, lgamma(x + y + 1) + lgamma(z + w + 1) + lgamma(x + z + 1) + lgamma(y + w + 1) - lgamma(x + y + z + w + 1) AS top FROM c),
+    t AS (SELECT exp(top - lgamma(k + 1) - lgamma(x + y - k + 1) - lgamma(x + z - k + 1) - lgamma(n - x - y - x - z + k + 1)) AS q, exp(top - lgamma(x + 1) - lgamma(y + 1) - lgamma(z + 1) - lgamma(w + 1)) AS here
+      FROM fx, range(CAST((SELECT greatest(0, x + y + x + z - n) FROM fx) AS BIGINT), CAST((SELECT least(x + y, x + z) + 1 FROM fx) AS BIGINT)) r(k))
+    SELECT round(x / (x + y + z) + 1e-7, 4) AS jaccard, round(x * w / nullif(y * z, 0) + 1e-7, 4) AS razon, round(n * pow(greatest(abs(x * w - y * z) - n / 2, 0), 2) / ((x + y) * (z + w) * (x + z) * (y + w)) + 1e-7, 3) AS chi2,
+    round((SELECT least(1, sum(q)) FROM t WHERE q <= here * (1 + 1e-7)) + 1e-7, 4) AS p FROM fx"""
+)
 def exact_overlap_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fisher's exact probability of the overlap of high index and many contracts."""
+    """Jaccard, odds ratio, chi-square and Fisher's exact probability of the overlap of high index and many contracts."""
     t = metrics.overlap(F.col("p") >= 0.4, F.col("n") >= 10, predictions(spark, sf_dir)).first()
     p = metrics.fisher(t["ambos"], t["solo_a"], t["solo_b"], t["ninguno"])
-    return spark.createDataFrame([(t["jaccard"], t["razon"], t["chi2"], p)], "jaccard double, razon double, chi2 double, p double")
+    out = spark.createDataFrame([(t["jaccard"], t["razon"], t["chi2"], p)], "jaccard double, razon double, chi2 double, p double")
+    return out.select(displayed(F.col("jaccard")).alias("jaccard"), displayed(F.col("razon")).alias("razon"), displayed(F.col("chi2"), 3).alias("chi2"), displayed(F.col("p")).alias("p"))
 
 
 @query(

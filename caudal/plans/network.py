@@ -248,7 +248,14 @@ def ego_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return center.crossJoin(n.agg(F.count(F.lit(1)).alias("nodos"))).crossJoin(e.agg(F.count(F.lit(1)).alias("aristas"))).crossJoin(each).crossJoin(r)
 
 
-@query()
+def _core_sql(pairs: str, k: int, rounds: int = 60) -> str:
+    parts = [f"e0 AS MATERIALIZED (SELECT * FROM {pairs})"]
+    for i in range(rounds):
+        parts.append(f"d{i} AS MATERIALIZED (SELECT id FROM (SELECT a AS id FROM e{i} UNION ALL SELECT b FROM e{i}) GROUP BY id HAVING count(*) >= {k}), e{i + 1} AS MATERIALIZED (SELECT * FROM e{i} WHERE a IN (SELECT id FROM d{i}) AND b IN (SELECT id FROM d{i}))")
+    return f"WITH {', '.join(parts)} SELECT a, b, w FROM e{rounds}"
+
+
+@query(_core_sql(_PAIRS.format(where="tipo IN ('co_oferta', 'co_presentacion', 'integra') AND"), 3))
 def dense_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges among actors that have at least three neighbours within the core."""
     v = table(spark, sf_dir, "vinculo_2025").where("tipo in ('co_oferta', 'co_presentacion', 'integra')")

@@ -227,3 +227,41 @@ def test_compare(spark):
     a = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, None), (3, 1.0, "z")], "k int, v double, t string")
     b = spark.createDataFrame([(1, 1.0 + 1e-9, "x"), (2, 2.1, None), (4, 1.0, "z")], "k int, v double, t string")
     assert rows(compare.compare_tables(a, b, ["k"])) == [("t", 2, 0, 1, 1), ("v", 1, 1, 1, 1)]
+
+
+def test_coalition_values_add_up(spark):
+    """Values of a row add up to its score less the mean score; a feature without weight gets nothing; equal features share."""
+    rnd = random.Random(3)
+    base = [[rnd.random() for _ in range(4)] for _ in range(20)]
+    data = [(f"r{i}", *[rnd.random() for _ in range(4)]) for i in range(30)] + [("same", 0.5, 0.5, 0.1, 0.2)]
+    w, bias = [1.5, 1.5, 0.0, -2.0], -0.3
+    base = [[a, a, c, d] for a, _, c, d in base]
+    df = spark.createDataFrame(data, "id string, a double, b double, c double, d double")
+    got = {}
+    for r in metrics.coalition_shapley(df, "id", list("abcd"), w, bias, base).collect():
+        got.setdefault(r["id"], {})[r["rasgo"]] = r["aporte"]
+    score = lambda x: 1 / (1 + math.exp(-(sum(i * j for i, j in zip(w, x)) + bias)))
+    mean = sum(map(score, base)) / len(base)
+    for i, *x in data:
+        assert abs(sum(got[i].values()) - (score(x) - mean)) < 1e-9 and abs(got[i]["c"]) < 1e-12
+    assert abs(got["same"]["a"] - got["same"]["b"]) < 1e-12
+
+
+def test_hops_against_the_projection(spark):
+    rnd = random.Random(7)
+    awards = sorted({(f"e{rnd.randrange(6)}", f"a{rnd.randrange(9)}") for _ in range(30)})
+    actors = sorted({a for _, a in awards})
+    x = {a: float(i) for i, a in enumerate(actors)}
+
+    def step(values):
+        out = {}
+        for a in actors:
+            near = [values[b] for e, b in awards if (e, a) in awards and b != a]
+            out[a] = sum(near) / len(near) if near else 0.0
+        return out
+
+    one = step(x)
+    two = step(one)
+    got = graph.hops(spark.createDataFrame(awards, "entidad string, actor string"), spark.createDataFrame(list(x.items()), "actor string, v double"), ["v"])
+    for r in got.collect():
+        assert abs(r["v_1"] - one[r["actor"]]) < 1e-9 and abs(r["v_2"] - two[r["actor"]]) < 1e-9
