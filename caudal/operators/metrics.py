@@ -88,38 +88,89 @@ LANES = 8
 POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675, 0.99998980]
 
 
+#: Score ranges of about equal size, and salts of a score that fills several of them.
+PARTS, SALTS = 256, 32
+
+
 def bootstrap(pred: DataFrame, replicates: int, seed: str = "b") -> DataFrame:
     """``r, auc``: the AUC of each replicate, with Poisson(1) weights drawn from digests of id and replicate.
 
-    The weights are the same on every run and engine, so orderings can be compared in pairs. Eight replicates (a block)
-    are reckoned from one digest as columns of one row. Running sums go by score ranges within a block first, then by
-    score within a range, so no task sees all scores of a replicate. ``replicates`` is a multiple of LANES.
+    The weights are the same on every run and engine, so orderings can be compared in pairs. Rows are never multiplied by
+    the replicates: they go to PARTS ranges of the score (cut at quantiles), and each range gives three vectors with a
+    number for each replicate: weight of the negatives, of the positives, and of its own ordered pairs. A score
+    that fills a range by itself is spread over SALTS tasks and its ties are counted when their sums are merged. What
+    follows are running sums over the ranges of a replicate. ``replicates`` is a multiple of LANES.
     """
-    lanes = range(LANES)
-    blocks = pred.sparkSession.range(replicates // LANES).select(F.col("id").cast("int").alias("b"))
-    # Rows are multiplied by the blocks next, so they are spread over all cores first, however few they are.
-    spread = pred.select("id", "y", "p").repartition(pred.sparkSession.sparkContext.defaultParallelism, "id")
-    rows = spread.crossJoin(F.broadcast(blocks)).select("p", "y", "b", F.md5(F.concat_ws("|", F.lit(seed), F.col("b").cast("string"), F.col("id"))).alias("h"))
-    draw = [F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int") for k in lanes]
-    steps = [math.ceil(c * 65536) for c in POISSON]
-    # As an argument of a lambda each draw is computed once, not once a step.
-    weights = F.transform(F.array(*draw), lambda u: sum(((u >= c).cast("long") for c in steps), F.lit(0).cast("long")))
-    rows = rows.select("p", "y", "b", weights.alias("w"))
-    sums = [F.sum(F.col("w")[k]).alias(f"n{k}") for k in lanes] + [F.sum(F.col("w")[k] * F.col("y")).alias(f"pos{k}") for k in lanes]
-    g = rows.groupBy("b", "p").agg(*sums).withColumn("range", F.floor(F.col("p") * RANGES).cast("int"))
-    per = g.groupBy("b", "range").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in lanes])
-    below = Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("b", "range", *[F.coalesce(F.sum(f"s{k}").over(below), F.lit(0)).alias(f"s{k}") for k in lanes])
-    within = Window.partitionBy("b", "range").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    rank = [F.col(f"s{k}") + F.col(f"c{k}") - F.col(f"n{k}") + (F.col(f"n{k}") + 1) / 2.0 for k in lanes]
-    g = g.withColumns({f"c{k}": F.sum(f"n{k}").over(within) for k in lanes}).join(per, ["b", "range"])
-
-    def auc(k: int) -> Column:
-        pos, all_ = F.sum(f"pos{k}").cast("double"), F.sum(f"n{k}").cast("double")
-        return F.try_divide(F.sum(F.col(f"pos{k}") * rank[k]) - pos * (pos + 1) / 2, pos * (all_ - pos))
-
-    each = g.groupBy("b").agg(F.array(*[auc(k) for k in lanes]).alias("auc")).select("b", F.posexplode("auc").alias("k", "auc"))
-    return each.select((F.col("b") * LANES + F.col("k")).alias("r"), "auc")
+    import hashlib
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    cuts = pred.agg(F.percentile_approx("p", [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0] or []
+    found = Counter(cuts)
+    edges, heavy = np.array(sorted(found), np.float64), np.array([c for c, n in found.items() if n > 1], np.float64)
+    steps, blocks = np.array([math.ceil(c * 65536) for c in POISSON]), replicates // LANES
+
+    def place(batches):
+        for batch in batches:
+            ids, p = batch.column(0).cast(pa.string()), batch.column(2).to_numpy(zero_copy_only=False)
+            alone = np.isin(p, heavy)
+            part = 2 * np.searchsorted(edges, p, "left") + alone
+            salt = np.where(alone, [zlib.crc32(i.encode()) % SALTS for i in ids.to_pylist()], 0)
+            yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:], pa.array(part.astype(np.int32)), pa.array(salt.astype(np.int32))], names=["id", "y", "p", "part", "salt"])
+
+    def weigh(ids):
+        raw = b"".join(hashlib.md5(f"{seed}|{b}|{i}".encode()).digest() for i in ids for b in range(blocks))
+        return np.searchsorted(steps, np.frombuffer(raw, ">u2").astype(np.int64), "right").reshape(len(ids), replicates)
+
+    def sums(batches):
+        zero = lambda: np.zeros(replicates)
+        at = tie = None
+        neg, pos, pairs, tie_neg, tie_pos = zero(), zero(), zero(), zero(), zero()
+
+        def out():
+            close()
+            one = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (neg, pos, pairs)]
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), *one], names=["part", "neg", "pos", "pairs"])
+
+        def close():
+            nonlocal neg, pos, pairs, tie_neg, tie_pos
+            if at[0] % 2 == 0:  # ties of a spread score are counted once their sums are whole
+                pairs += tie_pos * (neg + tie_neg / 2)
+            neg, pos, tie_neg, tie_pos = neg + tie_neg, pos + tie_pos, zero(), zero()
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                columns = [c.to_pylist() for c in batch.columns]
+                for i, y, p, w in zip(range(batch.num_rows), columns[1], columns[2], weigh(columns[0])):
+                    key = (columns[3][i], columns[4][i])
+                    if at is not None and key != at:
+                        yield out()
+                        neg, pos, pairs = zero(), zero(), zero()
+                    elif at is not None and p != tie:
+                        close()
+                    at, tie = key, p
+                    if y:
+                        tie_pos += w
+                    else:
+                        tie_neg += w
+        if at is not None:
+            yield out()
+
+    kind = "id string, y int, p double, part int, salt int"
+    placed = pred.select(F.col("id").cast("string").alias("id"), F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p")).mapInArrow(place, kind)
+    # A number of tasks that doesn't hang on the size of the rows: each of them is worked on for every replicate.
+    tasks = max(2 * pred.sparkSession.sparkContext.defaultParallelism, int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = placed.repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", "p")
+    each = spread.mapInArrow(sums, "part int, neg array<double>, pos array<double>, pairs array<double>")
+    each = each.select("part", F.posexplode(F.arrays_zip("neg", "pos", "pairs")).alias("r", "v")).groupBy("r", "part").agg(F.sum("v.neg").alias("neg"), F.sum("v.pos").alias("pos"), F.sum("v.pairs").alias("pairs"))
+    each = each.withColumn("pairs", F.col("pairs") + F.when(F.col("part") % 2 == 1, F.col("pos") * F.col("neg") / 2).otherwise(0.0))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    each = each.withColumn("pairs", F.col("pairs") + F.col("pos") * below)
+    return each.groupBy("r").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def overlap(a: Column, b: Column, df: DataFrame) -> DataFrame:
