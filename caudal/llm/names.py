@@ -407,12 +407,12 @@ def bucket_pairs(rowed: DataFrame, stages: Stages, tag: str, block: int = BLOCK)
     cut = cut.select("bucket", "node", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
     cell = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-    cells = cut.select(cell.alias("cell"), side.alias("side"), "node").repartition("cell").sortWithinPartitions("cell", "side")
+    cells = cut.select(cell.alias("cell"), side.alias("side"), "node").repartition("cell").sortWithinPartitions("cell")
     return cells.mapInArrow(cell_pairs, "a long, b long")
 
 
 def cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the nodes of each cell, whose rows ``cell, side, node`` follow each other in order of the side.
+    """Pairs of the nodes of each cell, whose rows ``cell, side, node`` follow each other.
 
     Nodes of side 0 meet each other; those of side 1 meet those of side 2.
     """
@@ -428,7 +428,7 @@ def cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(cell: np.ndarray, side: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         size = np.diff(np.r_[start, len(cell)])
-        two = side[start] > 0
+        two = np.maximum.reduceat(side, start) > 0
         for n in np.unique(size[~two]):
             if n > 1:
                 i, j = np.triu_indices(n, 1)
@@ -437,8 +437,8 @@ def cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(0, len(own), step):
                     yield from out(node[own[k : k + step, None] + i], node[own[k : k + step, None] + j])
         for s, n in zip(start[two], size[two]):
-            left = s + np.searchsorted(side[s : s + n], 2)
-            x, y = node[s:left], node[left : s + n]
+            right = side[s : s + n] == 2
+            x, y = node[s : s + n][~right], node[s : s + n][right]
             yield from out(np.repeat(x, len(y)), np.tile(y, len(x)))
 
     held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)]
