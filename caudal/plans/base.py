@@ -59,15 +59,3 @@ BIDS = _sql("ofertas", "id_oferta", BID)
 SUPPLIERS = _sql("proveedores", "codigo_proveedor", SUPPLIER)
 BUYERS = _sql("entidades", "codigo_entidad", BUYER)
 ACTORS = _sql("nodos", "id_nodo", NODE)
-
-
-def edges(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
-    """Distinct ``origen, destino`` with summed weight, by kind; missing ends left out."""
-    v = table(spark, sf_dir, "vinculo_2025").where("origen is not null and destino is not null")
-    if kind:
-        v = v.where(F.col("tipo") == kind)
-    return v.groupBy("tipo", "origen", "destino").agg(F.sum(F.coalesce("peso", F.lit(1))).alias("peso"))
-
-
-EDGES = "(SELECT tipo, origen, destino, CAST(sum(coalesce(peso, 1)) AS BIGINT) AS peso FROM vinculo_2025 WHERE origen IS NOT NULL AND destino IS NOT NULL GROUP BY ALL)"
-AWARDS = "(SELECT origen, destino, CAST(sum(coalesce(peso, 1)) AS BIGINT) AS peso FROM vinculo_2025 WHERE tipo = 'adjudica' AND origen IS NOT NULL AND destino IS NOT NULL GROUP BY ALL)"
