@@ -18,7 +18,9 @@ TOKENIZER = queries.TOKENIZER
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, data, name):
-    assert queries.QUERIES[name](spark, data).count() >= 0
+    df = queries.QUERIES[name](spark, data)
+    got = df.collect()
+    assert got and (name in {"p7_mix", "p7_mix_whole", "p8_found"} or len(set(map(repr, got))) == len(got))
 
 
 # Groups of pairs
