@@ -264,6 +264,57 @@ def test_blocks_lose_no_pair_of_a_bucket(spark, block):
     assert names.bucket_pairs(spark.createDataFrame(members, "node long, bucket long").limit(0), Stages(spark, "t"), "t", block).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_rounds_of_candidates_are_bounded_and_whole(spark, monkeypatch, kind):
+    from caudal.session import Stages
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ABCDEL") for _ in range(4)) for _ in range(12)]
+    texts = sorted({" ".join(sorted(rng.sample(words, 3))) for _ in range(120)})
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, palabras string").select(F.col("node").cast(kind), "palabras", F.lit("").alias("lugar"))
+    idents = spark.createDataFrame([(i, str(i % 7)) for i in range(20)], "node long, ident string").select(F.col("node").cast(kind), "ident")
+    stages = Stages(spark, "t")
+    whole = rows(names.candidates(nodes, stages, 0.5, idents))
+    assert len(list(names.candidate_rounds(nodes, stages, 0.5, idents))) == 1
+    monkeypatch.setattr(names, "ROUND", 1500)
+    each = names.written_cells(nodes, stages, 0.5, None, len(texts))
+    cells = [df.agg(F.sum(F.size("nodes"))).first()[0] or 0 for df in each]
+    assert len(cells) > 2 and 0 < max(cells)
+    rounds = [rows(df) for df in names.candidate_rounds(nodes, stages, 0.5, idents)]
+    assert len(rounds) > 2 and max(map(len, rounds)) < len(whole)
+    assert sorted(itertools.chain(*rounds), key=repr) == whole
+
+
+def test_linking_leaves_no_intermediate_files(spark):
+    import time
+    from pathlib import Path
+
+    from caudal.session import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, held = set(root.iterdir()), shuffled()
+    df = spark.createDataFrame([(f"k{i}", f"ANA PEREZ{'' if i % 2 else 'S'}", str(1000000 + i // 2)) for i in range(40)], "id string, name string, doc string")
+    linked = names.link_names(df, "id", "name", names.PEOPLE, None, names.digits(F.col("doc")))
+    (made,) = set(root.iterdir()) - before
+    assert [p.name.split("-")[0] for p in made.iterdir()] == ["grouped"]
+    assert linked.count() == 40
+    end = time.time() + 20
+    while shuffled() - held and time.time() < end:
+        time.sleep(0.5)
+    assert len(shuffled() - held) <= 4  # of the count itself, and of reads that were no writes
+
+
+def test_numbers_are_dense(spark):
+    from caudal.session import Stages
+
+    nodes = spark.range(1000, 1500, 1, 7).withColumnRenamed("id", "node")
+    out = names.numbered(nodes, Stages(spark, "t"))
+    assert rows(out.select("number")) == sorted([(i,) for i in range(500)], key=repr) and out.select("node").distinct().count() == 500
+    assert names.numbered(nodes.limit(0), Stages(spark, "t")).count() == 0
+
+
 def test_equal_identifiers_are_candidates(spark):
     from caudal.session import Stages
 
